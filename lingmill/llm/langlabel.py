@@ -26,6 +26,8 @@ from lingmill.llm.skeleton import prototypes
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CODE_SIGN = re.compile(r"[\d_/\\<>{}=]|[a-z][A-Z]")
 _GREEK_CYRILLIC = re.compile("[\u0370-\u04ff]")
+_CAPITALS = re.compile("[\u0400-\u042f]")
+_COMBINING = set(map(chr, range(0x300, 0x370)))
 _CODE = re.compile(r"\S*[\d_/\\<>{}=]\S*|\b[a-z]+[A-Z]\w*")
 
 # Notations of languages besides the code and the English name of the languages table (ISO 639 codes,
@@ -60,7 +62,7 @@ class Profiles:
         self.dims, self.n, self.seed, self.memory = dims, n, seed, memory
         self.letters: dict[str, list[np.ndarray]] = {}
         self.grams: dict[str, np.ndarray] = {}
-        self.words: dict[str, tuple[np.ndarray, int]] = {}
+        self.words: dict[str, int] = {}
         self.codes: list[str] = []
 
     def letter(self, c: str) -> list[np.ndarray]:
@@ -91,33 +93,49 @@ class Profiles:
         proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
         proto -= proto.mean(axis=0)
         self.proto = proto / np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
+        self.products, self.sizes = np.zeros((1024, len(self.codes)), dtype=np.float32), np.zeros(1024, dtype=np.float32)
         return self
 
-    def word(self, w: str) -> tuple[np.ndarray, int]:
-        """(products of the word's bundle with the prototypes, number of n-grams)"""
-        hit = self.words.get(w)
-        if hit is None:
+    def word(self, w: str) -> int:
+        """The row of a word in `products` (of its bundle with the prototypes) and `sizes` (its number of n-grams)."""
+        row = self.words.get(w)
+        if row is None:
+            if len(self.words) >= self.memory:
+                self.words.clear()
+            row = self.words[w] = len(self.words)
+            if row >= len(self.products):
+                self.products = np.concatenate([self.products, np.zeros((max(1024, row), len(self.codes)), dtype=np.float32)])
+                self.sizes = np.concatenate([self.sizes, np.zeros(len(self.products) - len(self.sizes), dtype=np.float32)])
             spelled = self.spell(w)
+            self.sizes[row] = len(spelled)
+            self.products[row] = 0
             for g in spelled:
-                if g not in self.grams:
+                hit = self.grams.get(g)
+                if hit is None:
                     if len(self.grams) >= self.memory:
                         self.grams.clear()
-                    self.grams[g] = self.proto @ self.gram(g).astype(np.float32)
-            hit = (np.sum([self.grams[g] if g in self.grams else self.proto @ self.gram(g).astype(np.float32) for g in spelled], axis=0), len(spelled))
-            if len(self.words) >= self.memory:
-                self.words.clear()
-            self.words[w] = hit
-        return hit
+                    hit = self.grams[g] = self.proto @ self.gram(g).astype(np.float32)
+                self.products[row] += hit
+        return row
 
     def cosines(self, texts: list[list[str]]) -> np.ndarray:
         """Cosine of each text (a list of at least one word) with each prototype."""
-        if not texts:
-            return np.zeros((0, len(self.codes)), dtype=np.float32)
-        hits = [self.word(w) for t in texts for w in t]
-        at = np.cumsum([0] + [len(t) for t in texts[:-1]])
-        dots = np.add.reduceat(np.stack([h[0] for h in hits]), at, axis=0)
-        grams = np.add.reduceat(np.array([h[1] for h in hits], dtype=np.float32), at)
-        return dots / np.sqrt(self.dims * np.maximum(grams, 1))[:, None]
+        out = np.zeros((len(texts), len(self.codes)), dtype=np.float32)
+        done = 0
+        while done < len(texts):
+            # words are remembered up to a bound; a block of texts stays within it
+            block, room = [], self.memory // 2
+            if len(self.words) > room:
+                self.words.clear()
+            while done + len(block) < len(texts) and (not block or room > 0):
+                block.append(texts[done + len(block)])
+                room -= len(block[-1])
+            rows = np.fromiter((self.word(w) for t in block for w in t), dtype=np.int64)
+            at = np.cumsum([0] + [len(t) for t in block[:-1]])
+            dots = np.add.reduceat(self.products[rows], at, axis=0)
+            out[done : done + len(block)] = dots / np.sqrt(self.dims * np.add.reduceat(self.sizes[rows], at))[:, None]
+            done += len(block)
+        return out
 
 
 def sentence_words(sentence: str, table: dict) -> list[str]:
@@ -148,14 +166,24 @@ class Identifier:
         self.table = prototypes()
         # one form for full-width letters, ligatures, spaces and characters without an image; letters keep their script
         self.forms = {k: v for k, v in self.table.items() if v is None or v == " " or 0xFF01 <= k <= 0xFF5E or 0xFB00 <= k <= 0xFB06}
+        self.others = {chr(k) for k in self.forms if k != 32}
+        known = {c for _, t in samples for c in t}
+        self.usual = known | {c.upper() for c in known} | set(map(chr, range(128))) | self.others | _COMBINING | set("–—‘’“”„…€")
         self.seen: dict[str, tuple[str, float] | None] = {}
 
     def clean(self, text: str) -> str:
+        """Without garbling where it can be undone, in one form. What the characters of a text rule out is not tried:
+        text in the samples' own characters, without many capitals of another script, is not garbled so that its
+        language changes."""
         if text.isascii():
             return text
-        if self.repairer:
+        chars = set(text)
+        if self.repairer and (chars - self.usual or len(_CAPITALS.findall(text)) * 4 > len(_GREEK_CYRILLIC.findall(text)) > 0):
             text = self.repairer.text(text)[0]
-        return unicodedata.normalize("NFC", text.translate(self.forms))
+            chars = set(text)
+        if not self.others.isdisjoint(chars):
+            text = text.translate(self.forms)
+        return text if _COMBINING.isdisjoint(chars) else unicodedata.normalize("NFC", text)
 
     def sentences(self, sentences: set[str]) -> None:
         """Looks at sentences not seen yet."""
