@@ -73,4 +73,4 @@ def prose(text: str, commit: bool) -> Prose:
     if bot or _MACHINE.search(" ".join(blocks)[:200]):
         return Prose(True, [])
     body = [s for b in blocks if b for s in _sentences(b)]
-    return Prose(False, ([_TAG.sub("", title)] if title else []) + body)
+    return Prose(False, (_sentences(_TAG.sub("", title)) if title else []) + body)
