@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -55,6 +56,9 @@ def _kind(c: str) -> tuple[bool, bool, bool, bool]:
     return cat[0] == "L" and ord(c) < 0x10000, white, punct, white or (punct and ord(c) > 127) or c == "\0"
 
 
+_SIGN = re.compile("[.:]")
+
+
 class Scanner:
     """One scan over one text. Positions are characters; a text ends at its first NUL."""
 
@@ -123,13 +127,14 @@ class Scanner:
         """(start, end) of each URL, in the order found; they may overlap. The scan passes over one more character
         after a URL, after a failed domain and after an unknown scheme."""
         out, i, t = [], 0, self.t
-        while i < len(t):
+        while m := _SIGN.search(t, i):
+            i = m.start()
             found, at = None, i
             if t[i] == ".":
                 found = self._www(i)
                 if not found:
                     found, at = self._domain(i)
-            elif t[i] == ":":
+            else:
                 found, at = self._scheme(i)
             if found:
                 out.append(found)

@@ -17,6 +17,7 @@ from lingmill.operators.model import merged
 
 #: A model of at most so many distinct (n-gram, language) rows is broadcast, a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
+_MATCH = "array<struct<lang:string,weight:double,hits:bigint>>"
 
 
 def scores(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "tokens", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -28,20 +29,33 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "to
     cells = merged(model)
     small = cells.limit(broadcast_rows + 1).count() <= broadcast_rows
     by_gram = cells.groupBy("ngram").agg(F.collect_list(F.struct("lang", "weight", "hits")).alias("m"))
-    side = F.broadcast(by_gram) if small else by_gram
     t = F.col(tokens_col)
-    pairs = F.transform(t, lambda w, i: F.struct(i.alias("pos"), F.array(w, F.when(i > 0, F.concat(F.get(t, i - 1), F.lit(" "), w))).alias("g")))
-    base = docs.select(F.col(id_col).alias("id"), F.size(t).alias("terms"), F.explode_outer(pairs).alias("p"))
-    grams = base.select("id", "terms", F.col("p.pos").alias("pos"), F.explode_outer("p.g").alias("ngram"))
-    matched = grams.join(side, "ngram", "left")
-    # one row per text and position keeps the count of detected tokens exact, whatever the join
-    flagged = matched.select("id", "terms", "pos", F.explode_outer("m").alias("x"))
-    per = flagged.groupBy("id", "terms", "x.lang").agg(F.sum("x.weight").alias("weight_sum"), F.sum("x.hits").alias("hits"))
-    seen = matched.filter("m is not null").groupBy("id", "pos").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("detected"))
-    out = per.join(seen, "id", "left").withColumn("detected", F.coalesce("detected", F.lit(0).cast("long")))
+    pairs = F.transform(t, lambda w, i: F.struct(i.alias("pos"), w.alias("one"), F.when(i > 0, F.concat(F.get(t, i - 1), F.lit(" "), w)).alias("two")))
+    base = docs.select(F.col(id_col).alias("id"), F.size(t).alias("terms"), F.explode_outer(pairs).alias("p")).select("id", "terms", "p.*")
+    if small:
+        # both lookups in the row of a token; the same broadcast serves both
+        side = F.broadcast(by_gram)
+        found = base.join(side.select(F.col("ngram").alias("one"), F.col("m").alias("m1")), "one", "left").join(side.select(F.col("ngram").alias("two"), F.col("m").alias("m2")), "two", "left")
+        both = F.concat(F.coalesce("m1", F.array().cast(_MATCH)), F.coalesce("m2", F.array().cast(_MATCH)))
+    else:
+        # one shuffle by n-gram, then the two n-grams of a token meet again
+        grams = base.select("id", "terms", "pos", F.explode_outer(F.array("one", "two")).alias("ngram")).join(by_gram, "ngram", "left")
+        found = grams.groupBy("id", "terms", "pos").agg(F.collect_list("m").alias("ms"))
+        both = F.flatten("ms")
+    # besides its matches a token gives one row without language: whether it was detected
+    matches = F.concat(both, F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("weight"), (F.size(both) > 0).cast("long").alias("hits"))))
+    per = found.select("id", "terms", F.explode(matches).alias("x")).groupBy("id", "terms", "x.lang").agg(F.sum("x.weight").alias("weight_sum"), F.sum("x.hits").alias("hits"))
     some = Window.partitionBy("id")
-    out = out.withColumn("any", F.max(F.col("lang").isNotNull()).over(some)).filter("lang is not null or not any").drop("any")
-    return out.select(F.col("id").alias(id_col), F.greatest("terms", F.lit(0)).alias("terms"), "detected", "lang", "weight_sum", "hits")
+    out = per.withColumn("detected", F.max(F.when(F.col("lang").isNull(), F.col("hits"))).over(some)).withColumn("any", F.max(F.col("lang").isNotNull()).over(some))
+    out = out.filter("lang is not null or not any")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.greatest("terms", F.lit(0)).alias("terms"),
+        "detected",
+        "lang",
+        F.when(F.col("lang").isNotNull(), F.col("weight_sum")).alias("weight_sum"),
+        F.when(F.col("lang").isNotNull(), F.col("hits")).alias("hits"),
+    )
 
 
 def ranked(scored: DataFrame, id_col: str, config: DetectorConfig | None = None) -> DataFrame:

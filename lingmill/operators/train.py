@@ -136,6 +136,25 @@ def train_all(docs: DataFrame, configs: list[TrainConfig] | None = None) -> Data
     return out
 
 
+def ordered(counts: DataFrame, ties: str = "asc") -> DataFrame:
+    """Counts by frequency, the highest first; equal counts by n-gram, ascending or descending."""
+    return counts.orderBy(F.desc("cnt"), F.asc("ngram") if ties == "asc" else F.desc("ngram"))
+
+
+def most_frequent(counts: DataFrame, k: int) -> DataFrame:
+    """The `k` most frequent n-grams of each (grp, doc, n) with their rank; each task keeps `k` before the shuffle."""
+    order = Window.partitionBy("grp", "doc", "n").orderBy(F.desc("cnt"), F.asc("ngram"))
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def require_words(docs: DataFrame) -> DataFrame:
+    """`docs`, or an error that names documents without a word."""
+    bad = empty_documents(docs).limit(5).collect()
+    if bad:
+        raise ValueError("no words in " + ", ".join(f"{r['grp']}/{r['doc']}" for r in bad))
+    return docs
+
+
 def empty_documents(docs: DataFrame) -> DataFrame:
     """(grp, doc) of documents without a word in any row."""
     return docs.groupBy("grp", "doc").agg(F.max(F.size(F.coalesce("tokens", F.array().cast("array<string>")))).alias("most")).filter("most <= 0").select("grp", "doc")

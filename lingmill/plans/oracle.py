@@ -176,6 +176,8 @@ FROM (SELECT req_id, regexp_replace(regexp_replace(text, '[{_W}]', ' ', 'g'), '
 FROM counts JOIN size USING (grp, doc) JOIN avgdl USING (grp) JOIN df USING (grp, ngram) JOIN nd USING (grp)""",
     "residual_idf": f"""WITH {_COUNTS} SELECT grp, doc, ngram, round(-ln(df / nd) + ln(1 - exp(-cf / nd)), 6) AS weight, round(-ln(df / nd), 6) + 0.0 AS absent
 FROM counts JOIN df USING (grp, ngram) JOIN nd USING (grp)""",
+    "most_frequent_terms": f"WITH {_COUNTS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, doc, n ORDER BY cnt DESC, ngram) AS rank FROM counts) WHERE rank <= 10",
+    "previous_terms": f"WITH {_STOK}, pos AS (SELECT sample_id, tokens, unnest(range(len(tokens))) AS pos FROM stok) SELECT sample_id, pos, tokens[pos + 1] AS term, CASE WHEN pos > 0 THEN tokens[pos] END AS before FROM pos",
     "average_length": f"WITH {_COUNTS} SELECT grp, round(avg(dl), 6) AS avgdl, count(*) AS n_docs FROM size GROUP BY grp",
     "trained_model": f"WITH {_STOK}, {_MODEL} SELECT ngram, lang, round(weight, 6) AS weight FROM model",
     "empty_documents": f"WITH {_RTOK} SELECT req_id FROM rtok WHERE len(tokens) = 0 UNION ALL {_NO_TEXT}",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lingmill.config import DetectorConfig, TrainConfig
 from lingmill.functions import chars, cyrillic
 from lingmill.functions import urls as U
-from lingmill.functions.ngrams import explode_ngrams
+from lingmill.functions.ngrams import explode_ngrams, previous
 from lingmill.functions.tokenize import simple_tokens, tokens
 from lingmill.operators import detect as D
 from lingmill.operators import model as M
@@ -175,6 +175,17 @@ def residual_idf(spark: SparkSession, d: str) -> DataFrame:
     return T.residual_idf(_counts(spark, d)).select("grp", "doc", "ngram", _round("weight"), (F.round("absent", 6) + F.lit(0.0)).alias("absent"))
 
 
+def most_frequent_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent n-grams of each document and order."""
+    return T.most_frequent(_counts(spark, d), 10)
+
+
+def previous_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Each word of the samples with the one before it."""
+    rows = _samples(spark, d).select("sample_id", F.posexplode(F.arrays_zip(F.col("tokens").alias("term"), previous(F.col("tokens")).alias("before"))).alias("pos", "x"))
+    return rows.select("sample_id", "pos", F.col("x.term").alias("term"), F.col("x.before").alias("before"))
+
+
 def average_length(spark: SparkSession, d: str) -> DataFrame:
     length = _counts(spark, d).groupBy("grp", "doc").agg(F.sum("cnt").alias("dl"))
     return length.groupBy("grp").agg(F.round(F.avg("dl"), 6).alias("avgdl"), F.count("*").alias("n_docs"))
@@ -329,7 +340,7 @@ QUERIES = {
     for f in (
         p3_found, p3_loaded, tokens_samples, tokens_requests, tokens_per_doc, simple_tokenizer, url_spans_requests, url_mask_counts, character_counts, display_texts, upper_words,
         term_counts, bigram_counts, ngram3_counts, ngram4_counts, merged_counts, cut1_counts, cut2_counts, document_frequency, tf, tfidf, tfidf_one_dimension, bm25, residual_idf,
-        average_length, trained_model, all_models_sizes, skip_cyrillic_counts, empty_documents, model_record_count, model_nested, model_merged, model_compare, vocab_intersect,
+        average_length, most_frequent_terms, previous_terms, trained_model, all_models_sizes, skip_cyrillic_counts, empty_documents, model_record_count, model_nested, model_merged, model_compare, vocab_intersect,
         vocab_except, model_occurring, model_binary_roundtrip, model_text_roundtrip, lang_scores, detect_long, detect_top, detect_shipped, detect_unknown_reason, detect_documents,
         detect_local, detect_json, confusion_matrix, accuracy_by_language, cyrillic_gate, ru_score,
     )

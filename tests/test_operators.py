@@ -73,7 +73,16 @@ def test_counting(spark):
     assert "a b" in {r["ngram"] for r in T.count_ngrams(docs(spark, [("d", "a ж b")]), 2, F.lit(True), "bridge").collect()}
     part = counts(spark, [("d", 1, "A", 1), ("d", 1, "B", 2)])
     assert {r["ngram"]: r["cnt"] for r in T.merge_counts(part, part).collect()} == {"A": 2, "B": 4}
-    assert [r["doc"] for r in T.empty_documents(docs(spark, [("d", "a"), ("e", "")])).filter("doc <> ''").collect()] in ([], ["e"])
+
+
+def test_order_and_empty(spark):
+    c = counts(spark, [("d", 1, "B", 2), ("d", 1, "A", 2), ("d", 1, "C", 3)])
+    assert [r["ngram"] for r in T.ordered(c).collect()] == ["C", "A", "B"] and [r["ngram"] for r in T.ordered(c, "desc").collect()] == ["C", "B", "A"]
+    assert [r["ngram"] for r in T.most_frequent(c, 2).orderBy("rank").collect()] == ["C", "A"]
+    d = spark.createDataFrame([("g", "d", ["a"]), ("g", "e", []), ("g", "f", None)], "grp string, doc string, tokens array<string>")
+    assert {r["doc"] for r in T.empty_documents(d).collect()} == {"e", "f"}
+    with pytest.raises(ValueError, match="g/"):
+        T.require_words(d)
 
 
 def test_all_models(spark):
