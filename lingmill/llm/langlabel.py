@@ -247,7 +247,8 @@ def identify(df: DataFrame, samples: list[tuple[str, str]], learned: list[Transf
         for texts, commits in batches:
             yield pd.Series(ident.stretches([t or "" for t in texts], [bool(c) for c in commits]), dtype=object)
 
-    return df.withColumn(out_col, f(F.col(text_col), F.col(commit_col)))
+    # not to be evaluated once more where a filter on the result is pushed down
+    return df.withColumn(out_col, f.asNondeterministic()(F.col(text_col), F.col(commit_col)))
 
 
 def label_cases(df: DataFrame, label_col: str, known: dict[str, str], langs_col: str = "langs") -> DataFrame:
