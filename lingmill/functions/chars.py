@@ -22,13 +22,13 @@ DEGREES = "°º"
 KEPT = "ßŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆıſ"
 _HOLD = "".join(chr(0xE100 + i) for i in range(len(KEPT)))
 
-SPLIT_MARK, SPACE_MARK = "\ue001", "\ue002"
+SPLIT_MARK = "\ue001"
 
 
 def upper(text: Column) -> Column:
     """Upper case letter by letter (never longer than before), with Ё as Е."""
-    held = F.translate(text, KEPT, _HOLD)
-    return F.translate(F.translate(F.upper(held), _HOLD, KEPT), "Ё", "Е")
+    held = F.translate(F.upper(F.translate(text, KEPT, _HOLD)), _HOLD, KEPT)
+    return F.replace(F.when(text.rlike(f"[{KEPT}]"), held).otherwise(F.upper(text)), F.lit("Ё"), F.lit("Е"))
 
 
 def upper_py(text: str) -> str:

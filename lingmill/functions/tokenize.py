@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lingmill.functions.chars import DOTS, NUMBER_SIGNS, SEPARATING_SYMBOLS, SPACE_MARK, SPLIT_MARK, WHITE, WORD_PUNCTUATION, until_nul, upper, upper_py
+from lingmill.functions.chars import DOTS, NUMBER_SIGNS, SEPARATING_SYMBOLS, SPLIT_MARK, WHITE, WORD_PUNCTUATION, until_nul, upper, upper_py
 from lingmill.functions.urls import Scanner, UrlRules, _kind, url_mask
 
 SEPARATOR = f"[\\p{{P}}{SEPARATING_SYMBOLS}&&[^{WORD_PUNCTUATION}]][\\p{{P}}{WHITE}]*"
-NUMBER = f"^[\\p{{Nd}}{NUMBER_SIGNS}]+{SPACE_MARK}$"
-EDGES = "^[^\\p{L}\\p{Nd}]+|[^\\p{L}\\p{Nd}]+$"
+_OUT = f"{WHITE}{SPLIT_MARK}{SEPARATING_SYMBOLS}\\p{{P}}"
+#: Characters of a run; those of them that are neither letter nor digit; letters and digits.
+_RUN, _JUNK, _CORE = f"[[^{_OUT}][{WORD_PUNCTUATION}]]", f"[[^{_OUT}\\p{{L}}\\p{{Nd}}][{WORD_PUNCTUATION}]]", "[\\p{L}\\p{Nd}]"
+#: A text is a row of these: a separator with all punctuation and white space after it; a number before a space; a run
+#: that trimming would leave with one character or none; any other run, whose middle is the word.
+WORDS = (
+    f"{SEPARATOR}|[\\p{{Nd}}{NUMBER_SIGNS}]++(?= )|(?:{_JUNK}++{_CORE}?{_JUNK}*+|{_CORE}{_JUNK}++)(?!{_RUN})|{_JUNK}*+({_CORE}(?:{_RUN}*{_CORE})?){_JUNK}*+"
+)
 LETTER_EDGES = "^[^\\p{L}]+|[^\\p{L}]+$"
 
 
-def _trimmed(runs: Column, edges: str) -> Column:
-    """Each run trimmed to its edges; a run of which trimming leaves one character or none is dropped."""
-    pairs = F.transform(runs, lambda r: F.struct(r.alias("r"), F.regexp_replace(r, edges, "").alias("w")))
-    kept = F.filter(pairs, lambda p: (F.length(p["w"]) > 1) | ((p["w"] == p["r"]) & (p["w"] != "")))
-    return F.transform(kept, lambda p: p["w"])
-
-
 def tokens_of_masked(masked: Column) -> Column:
     """Words of a text whose URLs are masked: separators (with all punctuation and white space after them) and white
-    space end a run; a number followed by a space is dropped; a run is trimmed to letters and digits, upper-cased."""
-    t = F.regexp_replace(masked, SEPARATOR, SPLIT_MARK)
-    runs = F.split(F.replace(t, F.lit(" "), F.lit(SPACE_MARK + " ")), f"[{WHITE}{SPLIT_MARK}]+")
-    runs = F.filter(runs, lambda r: ~r.rlike(NUMBER))
-    runs = F.transform(runs, lambda r: F.replace(r, F.lit(SPACE_MARK), F.lit("")))
-    joined = F.array_join(_trimmed(runs, EDGES), SPLIT_MARK)
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(upper(joined), SPLIT_MARK))
+    space end a run; a number followed by a space is dropped; a run is trimmed to letters and digits, upper-cased.
+
+    All in one pass over the text, none over an array."""
+    return F.array_remove(F.regexp_extract_all(upper(masked), F.lit(WORDS), F.lit(1)), "")
 
 
 def tokens(text: Column, rules: UrlRules | None = None) -> Column:

@@ -30,8 +30,10 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "to
     small = cells.limit(broadcast_rows + 1).count() <= broadcast_rows
     by_gram = cells.groupBy("ngram").agg(F.collect_list(F.struct("lang", "weight", "hits")).alias("m"))
     t = F.col(tokens_col)
-    pairs = F.transform(t, lambda w, i: F.struct(i.alias("pos"), w.alias("one"), F.when(i > 0, F.concat(F.get(t, i - 1), F.lit(" "), w)).alias("two")))
-    base = docs.select(F.col(id_col).alias("id"), F.size(t).alias("terms"), F.explode_outer(pairs).alias("p")).select("id", "terms", "p.*")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(t), F.lit(0)).alias("terms"), F.posexplode_outer(F.arrays_zip(t.alias("one"), before.alias("before"))).alias("pos", "p"))
+    two = F.concat(F.col("p.before"), F.lit(" "), F.col("p.one"))
+    base = base.filter("terms <= 0 or p.one is not null").select("id", "terms", "pos", F.col("p.one").alias("one"), two.alias("two"))
     if small:
         # both lookups in the row of a token; the same broadcast serves both
         side = F.broadcast(by_gram)
