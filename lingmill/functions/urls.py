@@ -57,6 +57,7 @@ def _kind(c: str) -> tuple[bool, bool, bool, bool]:
 
 
 _SIGN = re.compile("[.:]")
+_ASCII_LETTERS = re.compile("[A-Za-z]*")
 
 
 class Scanner:
@@ -97,8 +98,11 @@ class Scanner:
     def _domain(self, i: int) -> tuple[tuple[int, int] | None, int]:
         """(URL by a top-level domain after the dot at `i`, or None; how far a failure moves the scan)"""
         t, j = self.t, i + 1
-        while j < len(t) and _kind(t[j])[0]:
-            j += 1
+        m = _ASCII_LETTERS.match(t, j)
+        j = m.end()
+        if j < len(t) and not t[j].isascii():
+            while j < len(t) and _kind(t[j])[0]:
+                j += 1
         if j == i + 1 or t[i + 1 : j].upper() not in self.rules.domains:
             return None, i + 1
         if j < len(t) and t[j] in DOTS:
