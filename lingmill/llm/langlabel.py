@@ -192,7 +192,7 @@ class Identifier:
             self.seen.clear()
             fresh = list(sentences)
         words = [[] if s.endswith("…") else sentence_words(s, self.table) for s in fresh]
-        ok = [i for i, w in enumerate(words) if len(w) >= self.min_words]
+        ok = [i for i, w in enumerate(words) if len(w) >= self.min_words and sum(len(x) > 1 for x in w) >= 3]
         self.seen.update(dict.fromkeys(fresh))
         cos = self.profiles.cosines([words[i] for i in ok])
         if not len(cos):

@@ -23,6 +23,8 @@ _MACHINE = re.compile(
 _URL = re.compile(r"\b[a-z]+://\S+|\bwww\.\S+|\S+@\S+\.\w+", re.I)
 #: A fragment trails off; what ends so is no whole sentence.
 _END = re.compile(r"(?<=[.!?。])[\"”»’)]*\s+(?:[/—–|-]\s+)?|(?<=…)\s+|\n")
+#: A sentence of a body ends as one; a line of capitals or of signs does not.
+_WHOLE = re.compile(r"[.!?。…][\"”»’)\]]*\s*$")
 _TABLE = prototypes()
 
 
@@ -72,5 +74,5 @@ def prose(text: str, commit: bool) -> Prose:
     blocks.append(" ".join(block))
     if bot or _MACHINE.search(" ".join(blocks)[:200]):
         return Prose(True, [])
-    body = [s for b in blocks if b for s in _sentences(b)]
+    body = [s for b in blocks if b for s in _sentences(b) if _WHOLE.search(s)]
     return Prose(False, (_sentences(_TAG.sub("", title)) if title else []) + body)
