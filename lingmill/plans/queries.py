@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,20 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(T.train(_training(spark, d)).select("ngram", F.col("doc").alias("lang"), "weight"))
 
 
-def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """Requests with tokens; links are split like other text."""
-    return spread(table(spark, d, "requests").select("req_id", "text")).withColumn("tokens", tokens(F.col("text")))
+def _requests(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    """Requests with tokens; without `rules`, links are split like other text."""
+    return spread(table(spark, d, "requests").select("req_id", "text")).withColumn("tokens", tokens(F.col("text"), rules))
+
+
+def _with_urls(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of requests by the whole main tokenizer, URLs being no words. The SQL can't find URLs, so it can only
+    check the query without them."""
+
+    def whole(spark: SparkSession, d: str) -> DataFrame:
+        return query(spark, d, U.UrlRules.default(spark))
+
+    whole.__name__, whole.__doc__ = f"{query.__name__}_urls", query.__doc__
+    return whole
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +85,8 @@ def tokens_samples(spark: SparkSession, d: str) -> DataFrame:
     return _samples(spark, d).select("sample_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("words"))
 
 
-def tokens_requests(spark: SparkSession, d: str) -> DataFrame:
-    return _requests(spark, d).filter("text is not null").select("req_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("words"))
+def tokens_requests(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    return _requests(spark, d, rules).filter("text is not null").select("req_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("words"))
 
 
 def tokens_per_doc(spark: SparkSession, d: str) -> DataFrame:
@@ -201,12 +213,12 @@ def all_models_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def skip_cyrillic_counts(spark: SparkSession, d: str) -> DataFrame:
     """2-grams of requests without Cyrillic words, over which no n-gram reaches."""
-    docs = _requests(spark, d).select(F.lit("requests").alias("grp"), F.lit("all").alias("doc"), "tokens")
+    docs = _requests(spark, d, U.UrlRules.default(spark)).select(F.lit("requests").alias("grp"), F.lit("all").alias("doc"), "tokens")
     return T.count_ngrams(docs, 2, F.lit(True), "reset").filter("n = 2").select("ngram", "cnt")
 
 
-def empty_documents(spark: SparkSession, d: str) -> DataFrame:
-    return T.empty_documents(_requests(spark, d).select(F.lit("requests").alias("grp"), F.col("req_id").alias("doc"), "tokens")).select(F.col("doc").alias("req_id"))
+def empty_documents(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    return T.empty_documents(_requests(spark, d, rules).select(F.lit("requests").alias("grp"), F.col("req_id").alias("doc"), "tokens")).select(F.col("doc").alias("req_id"))
 
 
 # models
@@ -270,24 +282,24 @@ def model_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 # detection
 
 
-def lang_scores(spark: SparkSession, d: str) -> DataFrame:
-    return D.scores(_requests(spark, d), _model(spark, d), "req_id").select("req_id", "terms", "detected", "lang", _round("weight_sum"), "hits")
+def lang_scores(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    return D.scores(_requests(spark, d, rules), _model(spark, d), "req_id").select("req_id", "terms", "detected", "lang", _round("weight_sum"), "hits")
 
 
-def detect_long(spark: SparkSession, d: str) -> DataFrame:
-    return D.long_form(D.detect(_requests(spark, d), _model(spark, d), "req_id"), "req_id").select("req_id", "rank", "lang", _round("weight"), "percent")
+def detect_long(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    return D.long_form(D.detect(_requests(spark, d, rules), _model(spark, d), "req_id"), "req_id").select("req_id", "rank", "lang", _round("weight"), "percent")
 
 
-def detect_top(spark: SparkSession, d: str) -> DataFrame:
-    return D.top(D.detect(_requests(spark, d), _model(spark, d), "req_id"), "req_id")
+def detect_top(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    return D.top(D.detect(_requests(spark, d, rules), _model(spark, d), "req_id"), "req_id")
 
 
-def detect_shipped(spark: SparkSession, d: str) -> DataFrame:
-    return D.top(D.detect(_requests(spark, d), _model(spark, d), "req_id", config=DetectorConfig.shipped()), "req_id")
+def detect_shipped(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    return D.top(D.detect(_requests(spark, d, rules), _model(spark, d), "req_id", config=DetectorConfig.shipped()), "req_id")
 
 
-def detect_unknown_reason(spark: SparkSession, d: str) -> DataFrame:
-    return D.detect(_requests(spark, d), _model(spark, d), "req_id").groupBy("reason").agg(F.count("*").alias("n"))
+def detect_unknown_reason(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+    return D.detect(_requests(spark, d, rules), _model(spark, d), "req_id").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def detect_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -296,21 +308,21 @@ def detect_documents(spark: SparkSession, d: str) -> DataFrame:
     return D.top(D.detect(docs, _model(spark, d), "doc_id"), "doc_id")
 
 
-def detect_local(spark: SparkSession, d: str) -> DataFrame:
+def detect_local(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
     """Row-local detection of requests, as on a stream."""
     local = D.LocalDetector(_model(spark, d))
-    return D.top(detect_stream(spread(table(spark, d, "requests").select("req_id", "text")), local), "req_id")
+    return D.top(detect_stream(spread(table(spark, d, "requests").select("req_id", "text")), local, rules), "req_id")
 
 
 def detect_json(spark: SparkSession, d: str) -> DataFrame:
     names = {r["code"]: r["name"] for r in table(spark, d, "languages").limit(256).collect()}
-    got = D.detect(_requests(spark, d), _model(spark, d), "req_id")
+    got = D.detect(_requests(spark, d, U.UrlRules.default(spark)), _model(spark, d), "req_id")
     return got.select("req_id", D.as_json(F.col("langs"), names).alias("answer"), D.as_text(F.col("langs")).alias("shown"))
 
 
-def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+def confusion_matrix(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
     """Best language by the label of the service's first answer."""
-    best = detect_top(spark, d)
+    best = detect_top(spark, d, rules)
     answers = table(spark, d, "responses").filter("rank_no = 1").groupBy("req_id").agg(F.max_by("l", F.struct("logged_at", "resp_id")).alias("label"))
     return best.join(answers, "req_id", "left").groupBy("label", "lang").agg(F.count("*").alias("n"))
 
@@ -329,9 +341,9 @@ def cyrillic_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "requests").filter(~chars.is_blank(t)).select("req_id", cyrillic.has_cyrillic_letters(t, 20).alias("gate"), cyrillic.cyrillic_percent(t).alias("percent"), cyrillic.has_cyrillic_char(t).alias("any_cyrillic"))
 
 
-def ru_score(spark: SparkSession, d: str) -> DataFrame:
+def ru_score(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
     words = R.russian_vocabulary(_model(spark, d).filter("lang = 'RU'"))
-    got = R.detect_ru(_requests(spark, d), words, "req_id")
+    got = R.detect_ru(_requests(spark, d, rules), words, "req_id")
     return got.select("req_id", "gate", _round("weight"), "is_russian")
 
 
@@ -343,5 +355,6 @@ QUERIES = {
         average_length, most_frequent_terms, previous_terms, trained_model, all_models_sizes, skip_cyrillic_counts, empty_documents, model_record_count, model_nested, model_merged, model_compare, vocab_intersect,
         vocab_except, model_occurring, model_binary_roundtrip, model_text_roundtrip, lang_scores, detect_long, detect_top, detect_shipped, detect_unknown_reason, detect_documents,
         detect_local, detect_json, confusion_matrix, accuracy_by_language, cyrillic_gate, ru_score,
+        *map(_with_urls, (tokens_requests, empty_documents, lang_scores, detect_long, detect_top, detect_shipped, detect_unknown_reason, detect_local, confusion_matrix, ru_score)),
     )
 }
