@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lingmill.llm import distinct, langlabel, mixing, mojibake, packing, reading, skeleton, split, termfreq, tokens
 from lingmill.llm.message import message
-from lingmill.session import blank, spread, table
+from lingmill.session import blank, cut_lineage, spread, table
 
 #: At most so many labelled samples are read on the driver (the table is fixed, of 390 rows).
 MAX_SAMPLES = 10_000
@@ -110,8 +110,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return reading.reading_levels(spread(docs), reading.train(docs, samples(spark, d)))
+    known = samples(spark, d)
+    rows = cut_lineage(reading.measured(spread(table(spark, d, "documents")), known))
+    return reading.levels_measured(rows, reading.train_measured(rows, known))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p4_found, p4_langs, p5_found, p5_repaired, p6_found, p6_counts, p7_found, p7_scores, p8_pack, p9_mix, p9_shares, p10_levels)}

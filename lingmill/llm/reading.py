@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingmill.llm.message import message, prose
+from lingmill.session import cut_lineage
 
 LEVELS = 5
+#: Formula values are counted in steps of 1/100 up to 1,000, so a histogram has a bounded number of bins.
+_STEP, _TOP = 100, 100_000
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -34,6 +39,17 @@ def formula(sentences: list[str]) -> float | None:
     return 4.71 * letters / words + 0.5 * words / n - 21.43 if words else None
 
 
+def _words(sentences: list[str]) -> list[str]:
+    return [w.lower() for s in sentences for w in _WORD.findall(s)]
+
+
+def _bin(value: float) -> int:
+    return min(_TOP, math.floor(value * _STEP))
+
+
+_NONE: Counter = Counter()
+
+
 @dataclass
 class LevelModel:
     """Unigram counts by script group and level. Languages differ in the length of their words, so formula values are
@@ -52,39 +68,55 @@ class LevelModel:
         return max(votes, key=lambda g: (votes[g], g)) if votes else "other"
 
     @classmethod
-    def fit(cls, texts: list[list[str]], samples: list[tuple[str, str]], vocabulary: int = 50_000) -> LevelModel:
-        """`texts`: sentences of the seeded training texts; `samples`: (language, text) for the groups' words."""
+    def of_samples(cls, samples: list[tuple[str, str]]) -> LevelModel:
+        """A model that only knows the groups' words, from (language, text)."""
         m = cls()
         by_word: dict[str, Counter] = defaultdict(Counter)
         for lang, t in samples:
             for w in _WORD.findall(t.lower()):
                 by_word[w][lang] += 1
         m.groups = {w: c.most_common(1)[0][0] for w, c in by_word.items() if c.most_common(1)[0][1] >= 0.8 * sum(c.values())}
-        seeded: dict[str, list[tuple[float, list[str]]]] = defaultdict(list)
-        for sentences in texts:
-            words = [w.lower() for s in sentences for w in _WORD.findall(s)]
-            if words:
-                seeded[m.group(words)].append((formula(sentences), words))
-        for g, rows in seeded.items():
-            values = sorted(v for v, _ in rows)
-            m.cuts[g] = [values[min(len(values) - 1, len(values) * k // LEVELS)] for k in range(1, LEVELS)]
-            whole: Counter = Counter()
-            for v, words in rows:
-                level = 1 + sum(v >= c for c in m.cuts[g])
-                m.words.setdefault((g, level), Counter()).update(words)
-                whole.update(words)
-            m.vocabulary[g] = Counter(dict(whole.most_common(vocabulary)))
-            for level in range(1, LEVELS + 1):
-                c = m.words.setdefault((g, level), Counter())
-                m.words[g, level] = Counter({w: n for w, n in c.items() if w in m.vocabulary[g]})
-                m.totals[g, level] = sum(m.words[g, level].values())
         return m
 
-    def posterior(self, sentences: list[str]) -> tuple[str, list[float]] | None:
-        """(group, probability of each level) of a text; None without words.
+    @classmethod
+    def fit(cls, texts: list[list[str]], samples: list[tuple[str, str]], vocabulary: int = 50_000) -> LevelModel:
+        """`texts`: sentences of the seeded training texts; `samples`: (language, text) for the groups' words."""
+        m = cls.of_samples(samples)
+        seeded = [(m.group(words), _bin(formula(sentences)), words) for sentences in texts if (words := _words(sentences))]
+        m.cut(Counter((g, b) for g, b, _ in seeded))
+        counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0] * LEVELS)
+        for g, b, words in seeded:
+            for w in words:
+                counts[g, w][m.level(g, b) - 1] += 1
+        rank: Counter = Counter()
+        for (g, w), n in sorted(counts.items(), key=lambda x: (-sum(x[1]), x[0])):
+            rank[g] += 1
+            if rank[g] <= vocabulary:
+                m.learn(g, w, n)
+        return m
+
+    def cut(self, histogram: dict[tuple[str, int], int]) -> None:
+        """Sets each group's cuts from its texts by (group, bin)."""
+        for g in {g for g, _ in histogram}:
+            bins = sorted((b, n) for (x, b), n in histogram.items() if x == g)
+            total, ends = sum(n for _, n in bins), list(accumulate(n for _, n in bins))
+            self.cuts[g] = [bins[bisect_right(ends, total * k // LEVELS)][0] / _STEP for k in range(1, LEVELS)]
+
+    def level(self, group: str, b: int) -> int:
+        return 1 + sum(b >= round(c * _STEP) for c in self.cuts[group])
+
+    def learn(self, group: str, word: str, counts: list[int]) -> None:
+        """Takes a word's counts by level."""
+        self.vocabulary.setdefault(group, Counter())[word] = sum(counts)
+        for level, n in enumerate(counts, 1):
+            if n:
+                self.words.setdefault((group, level), Counter())[word] = n
+                self.totals[group, level] = self.totals.get((group, level), 0) + n
+
+    def posterior(self, words: list[str]) -> tuple[str, list[float]] | None:
+        """(group, probability of each level) of a text's words; None without words.
 
         Words are independent draws in the model but not in texts, so evidence is taken per word times its square root."""
-        words = [w.lower() for s in sentences for w in _WORD.findall(s)]
         if not words:
             return None
         g = self.group(words)
@@ -92,29 +124,81 @@ class LevelModel:
             g = max(self.vocabulary, key=lambda x: sum(self.vocabulary[x].values()), default="")
             if not g:
                 return None
-        whole, mass = self.vocabulary[g], sum(self.vocabulary[g].values())
+        whole, mass = self.vocabulary[g], sum(self.totals.get((g, level), 0) for level in range(1, LEVELS + 1))
         known = [(w, n) for w, n in Counter(words).items() if w in whole]
         if not known:
             return g, [1 / LEVELS] * LEVELS
         scores = []
         for level in range(1, LEVELS + 1):
-            c, total = self.words[g, level], self.totals[g, level]
+            c, total = self.words.get((g, level), _NONE), self.totals.get((g, level), 0)
             scores.append(sum(n * math.log((c[w] + self.alpha * whole[w] / mass) / (total + self.alpha)) for w, n in known))
         temper = 1 / math.sqrt(sum(n for _, n in known))
         e = [math.exp((s - max(scores)) * temper) for s in scores]
         return g, [x / sum(e) for x in e]
 
 
-def train(df: DataFrame, samples: list[tuple[str, str]], text_col: str = "text", commit: bool = True, max_texts: int = 20_000) -> LevelModel:
-    """A model from at most `max_texts` texts, those with the lowest hash (a bounded sample; scoring covers all texts)."""
+def measured(df: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", commit: bool = True) -> DataFrame:
+    """(id, words, language_group, bin, formula, n_sentences, n_words): one row per row of `df`, `words` those of its
+    prose in lower case with a space between, null where there is none. Texts are taken apart here and nowhere else."""
+    model = LevelModel.of_samples(samples)
+
+    @F.pandas_udf("struct<words:string,language_group:string,bin:int,formula:double,n_sentences:int,n_words:int>")
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = []
+            for t in s:
+                p = prose(t, commit) if t else None
+                words = _words(p.sentences) if p and not p.machine else []
+                if words:
+                    value, (n, count, _) = formula(p.sentences), measures(p.sentences)
+                    rows.append((" ".join(words), model.group(words), _bin(value), value, n, count))
+                else:
+                    rows.append((None, None, None, None, 0, 0))
+            yield pd.DataFrame(rows, columns=["words", "language_group", "bin", "formula", "n_sentences", "n_words"]).astype({"bin": "Int32"})
+
     text = message(F.col(text_col)) if commit else F.col(text_col)
-    n = df.count()
-    part = df.select(text.alias("t"), F.xxhash64(text_col).alias("h")).filter("t is not null")
-    if n > max_texts:  # keep somewhat more than needed before the exact cut
-        part = part.filter(F.pmod("h", F.lit(1_000_000)) < min(1_000_000, int(1_500_000 * max_texts / n) + 1))
-    rows = part.orderBy("h").limit(max_texts).collect()
-    found = [prose(r["t"], commit) for r in rows]
-    return LevelModel.fit([p.sentences for p in found if not p.machine and p.sentences], samples)
+    # not to be evaluated once for each of its fields
+    return df.select(F.col(id_col), f.asNondeterministic()(text).alias("r")).select(id_col, "r.*")
+
+
+def train_measured(rows: DataFrame, samples: list[tuple[str, str]], vocabulary: int = 50_000) -> LevelModel:
+    """A model from all rows of `measured`. The driver gets histograms and each group's `vocabulary` commonest words."""
+    model, texts = LevelModel.of_samples(samples), rows.filter("words is not null")
+    model.cut({(r["language_group"], r["bin"]): r["n"] for r in texts.groupBy("language_group", "bin").agg(F.count("*").alias("n")).collect()})
+    if not model.cuts:
+        return model
+    cuts = F.create_map(*(x for g, cs in sorted(model.cuts.items()) for x in (F.lit(g), F.array(*(F.lit(round(c * _STEP)) for c in cs)))))
+    level = F.size(F.filter(F.element_at(cuts, F.col("language_group")), lambda c: F.col("bin") >= c)) + 1
+    words = texts.select("language_group", level.alias("level"), F.explode(F.split("words", " ")).alias("word"))
+    counts = words.groupBy("language_group", "word").agg(*(F.count(F.when(F.col("level") == k, 1)).alias(f"n{k}") for k in range(1, LEVELS + 1)))
+    counts = counts.withColumn("n", sum((F.col(f"n{k}") for k in range(1, LEVELS + 1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("language_group").orderBy(F.desc("n"), "word"))
+    for r in counts.withColumn("rank", rank).filter(F.col("rank") <= vocabulary).collect():
+        model.learn(r["language_group"], r["word"], [r[f"n{k}"] for k in range(1, LEVELS + 1)])
+    return model
+
+
+def train(df: DataFrame, samples: list[tuple[str, str]], text_col: str = "text", commit: bool = True) -> LevelModel:
+    """A model from all texts."""
+    return train_measured(cut_lineage(measured(df, samples, text_col, text_col, commit).drop(text_col)), samples)
+
+
+def levels_measured(rows: DataFrame, model: LevelModel, id_col: str = "doc_id") -> DataFrame:
+    """`reading_levels` of rows of `measured`."""
+
+    @F.pandas_udf("struct<language_group:string,level:int,confidence:double>")
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            out = []
+            for t in s:
+                got = model.posterior(t.split(" ")) if t else None
+                best = max(range(LEVELS), key=got[1].__getitem__) if got else None
+                out.append((got[0], best + 1, got[1][best]) if got else (None, None, None))
+            yield pd.DataFrame(out, columns=["language_group", "level", "confidence"]).astype({"level": "Int32"})
+
+    known = F.col("r.level").isNotNull()
+    got = rows.select(id_col, f.asNondeterministic()("words").alias("r"), "formula", "n_sentences", "n_words")
+    return got.select(id_col, "r.*", F.when(known, F.col("formula")).alias("formula"), *(F.when(known, F.col(c)).otherwise(0).alias(c) for c in ("n_sentences", "n_words")))
 
 
 def reading_levels(df: DataFrame, model: LevelModel, id_col: str = "doc_id", text_col: str = "text", commit: bool = True) -> DataFrame:
@@ -124,21 +208,4 @@ def reading_levels(df: DataFrame, model: LevelModel, id_col: str = "doc_id", tex
     prose. With `commit`, only the message's prose counts: no header lines, trailers, lists or hunks. Repeated rows get
     the same answer; other columns are ignored.
     """
-
-    @F.pandas_udf("struct<language_group:string,level:int,confidence:double,formula:double,n_sentences:int,n_words:int>")
-    def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            rows = []
-            for t in s:
-                p = prose(t, commit) if t else None
-                got = model.posterior(p.sentences) if p and not p.machine else None
-                if got is None:
-                    rows.append((None, None, None, None, 0, 0))
-                else:
-                    best = max(range(LEVELS), key=got[1].__getitem__)
-                    n, words, _ = measures(p.sentences)
-                    rows.append((got[0], best + 1, got[1][best], formula(p.sentences), n, words))
-            yield pd.DataFrame(rows, columns=["language_group", "level", "confidence", "formula", "n_sentences", "n_words"]).astype({"level": "Int32"})
-
-    text = message(F.col(text_col)) if commit else F.col(text_col)
-    return df.select(F.col(id_col), f(text).alias("r")).select(id_col, "r.*")
+    return levels_measured(measured(df, [], id_col, text_col, commit), model, id_col)

@@ -306,6 +306,24 @@ def test_reading_levels(spark):
     assert len(o) == len(ODD) and all(o[i]["level"] is None for i in range(4)) and reading.reading_levels(df.limit(0), model).count() == 0
 
 
+def test_reading_levels_learn_from_all_texts(spark):
+    # a text that makes up most of the rows, and 25,000 others: more than any sample would hold
+    n = 25_000
+    word = F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(word, F.lit(" runs on.")).alias("text"))
+    df = df.union(spark.range(n).select(F.col("id") + n, F.lit("Same old text.")))
+    rows = reading.measured(df, [], commit=False).cache()
+    model = reading.train_measured(rows, [], vocabulary=2 * n)
+    assert model.vocabulary["other"]["same"] == model.vocabulary["other"]["runs"] == n and len(model.vocabulary["other"]) == n + 5
+    values = sorted(r["formula"] for r in rows.select("formula").collect())
+    assert model.cuts["other"] == [pytest.approx(values[2 * n * k // 5], abs=0.01) for k in range(1, 5)]
+    assert reading.levels_measured(rows, model).filter("level is null").count() == 0
+    # the driver's fit and Spark's agree
+    some = df.limit(500)
+    one, two = reading.train(some, [], commit=False), reading.LevelModel.fit([[r["text"]] for r in some.collect()], [])
+    assert (one.cuts, one.words, one.totals, one.vocabulary) == (two.cuts, two.words, two.totals, two.vocabulary)
+
+
 def test_message_column(spark):
     df = spark.createDataFrame([("a\ndiff --git x\nb",), ("no hunks",), (None,), ("diff --git x",)], "t string")
     assert [r[0] for r in df.select(message(F.col("t"))).collect()] == ["a\n", "no hunks", None, ""]
