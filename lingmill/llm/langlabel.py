@@ -169,7 +169,8 @@ class Identifier:
         self.others = {chr(k) for k in self.forms if k != 32}
         known = {c for _, t in samples for c in t}
         self.usual = known | {c.upper() for c in known} | set(map(chr, range(128))) | self.others | _COMBINING | set("–—‘’“”„…€")
-        self.seen: dict[str, tuple[str, float] | None] = {}
+        #: None: no whole sentence; otherwise its language, None if it isn't clear, and the confidence
+        self.seen: dict[str, tuple[str | None, float] | None] = {}
 
     def clean(self, text: str) -> str:
         """Without garbling where it can be undone, in one form. What the characters of a text rule out is not tried:
@@ -197,26 +198,39 @@ class Identifier:
         cos = self.profiles.cosines([words[i] for i in ok])
         if not len(cos):
             return
+        first, sure, clear = self.judge(cos)
+        for i, f, p, yes in zip(ok, first, sure, clear, strict=True):
+            self.seen[fresh[i]] = (self.profiles.codes[f] if yes else None, float(p))
+
+    def judge(self, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best language of each row of cosines, its confidence, and whether it leaves the next one behind."""
         first = cos.argmax(axis=1)
         top = cos[np.arange(len(cos)), first]
-        e = np.exp((cos - top[:, None]) * self.sharpness)
-        sure = 1 / e.sum(axis=1)
-        cos[np.arange(len(cos)), first] = -np.inf
-        clear = top - cos.max(axis=1) >= self.margin
-        for i, f, p, yes in zip(ok, first, sure, clear, strict=True):
-            if yes:
-                self.seen[fresh[i]] = (self.profiles.codes[f], float(p))
+        sure = 1 / np.exp((cos - top[:, None]) * self.sharpness).sum(axis=1)
+        rest = cos.copy()
+        rest[np.arange(len(cos)), first] = -np.inf
+        return first, sure, top - rest.max(axis=1) >= self.margin
 
-    def stretches(self, texts: list[str], commits: list[bool]) -> list[list[tuple[str, float, int]]]:
-        """[(language, confidence, sentences)] of each text's stretches, in order; empty for texts made by machines.
+    def stretches(self, texts: list[str], commits: list[bool]) -> list[list[tuple[str, float, int, bool]]]:
+        """[(language, confidence, sentences, clear)] of each text's stretches, in order; empty for texts made by machines.
 
         Sentences without a clear language belong to the stretch around them, and so does a stretch whose language no
-        sentence of the text shows with the confidence `least`, unless the text has no other."""
+        sentence of the text shows with the confidence `least`, unless the text has no other. Where no sentence is clear,
+        the whole sentences' bundles are summed and the text is one stretch in the best language."""
         proses = [prose(self.clean(t), c) for t, c in zip(texts, commits, strict=True)]
         self.sentences({s for p in proses for s in p.sentences})
+        whole = [[s for s in p.sentences if self.seen[s]] for p in proses]
+        vague = [i for i, ss in enumerate(whole) if ss and not any(self.seen[s][0] for s in ss)]
+        pooled: dict[int, tuple[str, float, int, bool]] = {}
+        if vague:
+            first, sure, clear = self.judge(self.profiles.cosines([[w for s in whole[i] for w in sentence_words(s, self.table)] for i in vague]))
+            pooled = {i: (self.profiles.codes[f], float(c), len(whole[i]), bool(yes)) for i, f, c, yes in zip(vague, first, sure, clear, strict=True)}
         out = []
-        for p in proses:
-            hits = [h for s in p.sentences if (h := self.seen[s])]
+        for i, sentences in enumerate(whole):
+            if i in pooled:
+                out.append([pooled[i]])
+                continue
+            hits = [self.seen[s] for s in sentences if self.seen[s][0]]
             best: dict[str, float] = {}
             for lang, conf in hits:
                 best[lang] = max(conf, best.get(lang, 0))
@@ -230,18 +244,18 @@ class Identifier:
                     runs[-1][2] += 1
                 else:
                     runs.append([lang, conf, 1])
-            out.append([(lang, conf / n, n) for lang, conf, n in runs])
+            out.append([(lang, conf / n, n, True) for lang, conf, n in runs])
         return out
 
 
 def identify(df: DataFrame, samples: list[tuple[str, str]], learned: list[Transformation] | None = None, text_col: str = "text", commit_col: str = "commit", out_col: str = "langs") -> DataFrame:
-    """`df` with an array column of stretches (language, confidence, sentences), in the order of the text.
+    """`df` with an array column of stretches (language, confidence, sentences, clear), in the order of the text.
 
     `commit_col` (boolean) says which texts are commit messages. Null, blank and wordless texts, texts without a whole
     sentence and messages made by machines give an empty array. Repeated rows get the same answer each.
     """
 
-    @F.pandas_udf("array<struct<language:string,confidence:double,sentences:int>>")
+    @F.pandas_udf("array<struct<language:string,confidence:double,sentences:int,clear:boolean>>")
     def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         ident = Identifier(samples, learned)
         for texts, commits in batches:
@@ -253,8 +267,9 @@ def identify(df: DataFrame, samples: list[tuple[str, str]], learned: list[Transf
 
 def label_cases(df: DataFrame, label_col: str, known: dict[str, str], langs_col: str = "langs") -> DataFrame:
     """`df` with `code` (what the label says, null if unusable), `languages` (those really used, the most used first) and
-    `case`: `missing`, `wrong`, `mixed`, or null."""
+    `case`: `missing`, `wrong`, `mixed`, or null. A language that isn't clear gives a text without a label its language,
+    but calls no label wrong."""
     used = F.array_distinct(F.expr(f"transform({langs_col}, x -> x.language)"))
     out = df.withColumn("code", label_code(F.col(label_col), known)).withColumn("languages", used)
-    case = F.when(F.size("languages") == 0, F.lit(None)).when(F.size("languages") > 1, "mixed").when(F.col("code").isNull(), "missing").when(F.col("code") != F.element_at("languages", 1), "wrong")
+    case = F.when(F.size("languages") == 0, F.lit(None)).when(F.size("languages") > 1, "mixed").when(F.col("code").isNull(), "missing").when((F.col("code") != F.element_at("languages", 1)) & F.exists(langs_col, lambda x: x["clear"]), "wrong")
     return out.withColumn("case", case)

@@ -125,6 +125,18 @@ def test_languages(spark):
     assert langlabel.identify(df.limit(0), SAMPLES).count() == 0 and langlabel.identify(odd(spark).withColumn("commit", F.lit(False)), SAMPLES).count() == len(ODD)
 
 
+def test_language_without_a_clear_sentence(spark):
+    ident = langlabel.Identifier(SAMPLES, margin=2.0)  # no sentence is ever clear
+    de, ru = SENTENCES["DE"], SENTENCES["RU"]
+    (one,), (two,), none, machine = ident.stretches([de[0], f"{ru[0]} {ru[1]}", "wip", "Merge branch 'x' into y"], [False, False, False, True])
+    assert (one[0], one[2], one[3]) == ("DE", 1, False) and (two[0], two[2]) == ("RU", 2) and 0 < one[1] <= 1 and none == machine == []
+    # clear sentences decide alone
+    assert [(x[0], x[3]) for x in langlabel.Identifier(SAMPLES).stretches([f"{SENTENCES['EN'][0]} {ru[0]}"], [False])[0]] == [("EN", True), ("RU", True)]
+    rows = [(0, "en", [("DE", 0.4, 1, False)]), (1, None, [("DE", 0.4, 1, False)]), (2, "en", [("DE", 0.9, 1, True)])]
+    df = spark.createDataFrame(rows, "id int, label string, langs array<struct<language:string,confidence:double,sentences:int,clear:boolean>>")
+    assert {r["id"]: r["case"] for r in langlabel.label_cases(df, "label", KNOWN).collect()} == {0: None, 1: "missing", 2: "wrong"}
+
+
 def test_profiles_hold_out():
     rng = random.Random(2)
     train = [(lang, s) for lang, ss in SENTENCES.items() for s in ss]
