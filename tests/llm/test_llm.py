@@ -197,6 +197,17 @@ def test_encodings_odd(spark):
     assert mojibake.with_repair(odd(spark), learned, clean).count() == len(ODD)
 
 
+def test_evidence_is_summed_over_a_text():
+    clean = ["Náš klíč kontroluje soubor.", "Noční úloha vrací spojení.", "Klíč čte náš soubor."]
+    r = mojibake.Repairer([mojibake.Transformation("cp1252", "cp1250")], mojibake.CharModel.fit([s for s in clean for _ in range(20)]))
+    one, two = (s.encode("cp1250").decode("cp1252") for s in clean[:2])
+    for s in (one, two):
+        assert r.text(s) == (s, False, False)  # one garbled word is too little by itself
+    assert r.text(f"{one} {two}")[:2] == (" ".join(clean[:2]), True)
+    assert r.text(f"{one} {one}")[1] is False  # the same word again is no more evidence
+    assert r.text(" ".join(clean))[1] is False
+
+
 # 6, 7
 
 
