@@ -51,23 +51,22 @@ def label_code(label: Column, known: dict[str, str]) -> Column:
 
 
 class Profiles:
-    """Letter vectors, language prototypes, and each n-gram's products with the prototypes.
+    """Letter vectors, language prototypes, and the words' bundles.
 
-    A text's vector is the sum of its n-grams' vectors, so its product with a prototype is the sum of theirs; those are
-    remembered (up to a bound) instead of the vectors. Vectors of different n-grams are all but orthogonal, so the norm
-    of a text's vector is that of as many orthogonal vectors as it has n-grams.
-    """
+    A text's vector is the sum of its words' bundles. Bundles of words, and their products with the prototypes, are
+    remembered up to a bound (`memory` words of `dims` 16-bit numbers); what is forgotten is made again."""
 
-    def __init__(self, dims: int = 2048, n: int = 3, seed: int = 17, memory: int = 200_000):
+    def __init__(self, dims: int = 2048, n: int = 3, seed: int = 17, memory: int = 16_384):
         self.dims, self.n, self.seed, self.memory = dims, n, seed, memory
         self.letters: dict[str, list[np.ndarray]] = {}
-        self.grams: dict[str, np.ndarray] = {}
         self.words: dict[str, int] = {}
         self.codes: list[str] = []
 
     def letter(self, c: str) -> list[np.ndarray]:
         """The letter's vector, permuted once for each place."""
         if c not in self.letters:
+            if len(self.letters) >= self.memory:
+                self.letters.clear()
             rng = np.random.default_rng([self.seed, zlib.crc32(c.encode("utf-8", "surrogatepass"))])
             v = rng.choice(np.array([-1, 1], dtype=np.int8), self.dims)
             self.letters[c] = [np.roll(v, self.n - 1 - k) for k in range(self.n)]
@@ -93,49 +92,57 @@ class Profiles:
         proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
         proto -= proto.mean(axis=0)
         self.proto = proto / np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
-        self.products, self.sizes = np.zeros((1024, len(self.codes)), dtype=np.float32), np.zeros(1024, dtype=np.float32)
+        self.bundles, self.products = np.zeros((0, self.dims), dtype=np.int16), np.zeros((0, len(self.codes)), dtype=np.float64)
         return self
 
-    def word(self, w: str) -> int:
-        """The row of a word in `products` (of its bundle with the prototypes) and `sizes` (its number of n-grams)."""
+    def bundle(self, w: str) -> np.ndarray:
+        """The sum of a word's n-gram vectors."""
+        v = np.zeros(self.dims, dtype=np.int32)
+        for g in self.spell(w):
+            v += self.gram(g)
+        return v
+
+    def word(self, w: str) -> int | None:
+        """The row of a word in `bundles` and `products`; None for one too long for 16 bits."""
         row = self.words.get(w)
         if row is None:
-            if len(self.words) >= self.memory:
-                self.words.clear()
-            row = self.words[w] = len(self.words)
-            if row >= len(self.products):
-                self.products = np.concatenate([self.products, np.zeros((max(1024, row), len(self.codes)), dtype=np.float32)])
-                self.sizes = np.concatenate([self.sizes, np.zeros(len(self.products) - len(self.sizes), dtype=np.float32)])
-            spelled = self.spell(w)
-            self.sizes[row] = len(spelled)
-            self.products[row] = 0
-            for g in spelled:
-                hit = self.grams.get(g)
-                if hit is None:
-                    if len(self.grams) >= self.memory:
-                        self.grams.clear()
-                    hit = self.grams[g] = self.proto @ self.gram(g).astype(np.float32)
-                self.products[row] += hit
+            if len(w) > 10_000:
+                return None
+            row = len(self.words)
+            if row >= len(self.bundles):
+                more = max(1024, row // 2)
+                self.bundles = np.concatenate([self.bundles, np.zeros((more, self.dims), dtype=np.int16)])
+                self.products = np.concatenate([self.products, np.zeros((more, len(self.codes)))])
+            v = self.bundle(w)
+            self.bundles[row], self.products[row] = v, self.proto @ v.astype(np.float32)
+            self.words[w] = row
         return row
 
-    def cosines(self, texts: list[list[str]]) -> np.ndarray:
-        """Cosine of each text (a list of at least one word) with each prototype."""
-        out = np.zeros((len(texts), len(self.codes)), dtype=np.float32)
-        done = 0
-        while done < len(texts):
-            # words are remembered up to a bound; a block of texts stays within it
-            block, room = [], self.memory // 2
-            if len(self.words) > room:
+    def cosine(self, words: list[str]) -> np.ndarray:
+        """Cosine of a text (a list of at least one word) with each prototype: its vector is bundled, and its own norm is
+        taken."""
+        if len(self.words) + min(len(words), self.memory // 2) > self.memory:
+            self.words.clear()
+        v, dots = np.zeros(self.dims, dtype=np.int64), np.zeros(len(self.codes))
+        for at in range(0, len(words), self.memory // 2):
+            part = words[at : at + self.memory // 2]
+            if at and len(self.words) + len(part) > self.memory:
                 self.words.clear()
-            while done + len(block) < len(texts) and (not block or room > 0):
-                block.append(texts[done + len(block)])
-                room -= len(block[-1])
-            rows = np.fromiter((self.word(w) for t in block for w in t), dtype=np.int64)
-            at = np.cumsum([0] + [len(t) for t in block[:-1]])
-            dots = np.add.reduceat(self.products[rows], at, axis=0)
-            out[done : done + len(block)] = dots / np.sqrt(self.dims * np.add.reduceat(self.sizes[rows], at))[:, None]
-            done += len(block)
-        return out
+            rows = [r for w in part if (r := self.word(w)) is not None]
+            if rows:
+                v += self.bundles[rows].sum(axis=0, dtype=np.int32)
+                dots += self.products[rows].sum(axis=0)
+            for w in part:
+                if w not in self.words:
+                    own = self.bundle(w)
+                    v += own
+                    dots += self.proto @ own.astype(np.float32)
+        f = v.astype(np.float64)
+        return (dots / max(1e-9, float(np.sqrt(f @ f)))).astype(np.float32)
+
+    def cosines(self, texts: list[list[str]]) -> np.ndarray:
+        """`cosine` of each text."""
+        return np.stack([self.cosine(t) for t in texts]) if texts else np.zeros((0, len(self.codes)), dtype=np.float32)
 
 
 def sentence_words(sentence: str, table: dict) -> list[str]:
@@ -159,17 +166,17 @@ _BACK = str.maketrans("ABEKMHOPCTXYaeopcxyi", "АВЕКМНОРСТХУаеор
 class Identifier:
     """Languages of the sentences of a text."""
 
-    def __init__(self, samples: list[tuple[str, str]], learned: list[Transformation] | None = None, min_words: int = 4, margin: float = 0.05, least: float = 0.75, sharpness: float = 20.0, memory: int = 50_000):
+    def __init__(self, samples: list[tuple[str, str]], learned: list[Transformation] | None = None, min_words: int = 4, margin: float = 0.05, floor: float = 0.1, least: float = 0.75, sharpness: float = 20.0, memory: int = 50_000):
         self.profiles = Profiles().fit(samples)
         self.repairer = Repairer(learned, CharModel.fit([t for _, t in samples])) if learned is not None else None
-        self.min_words, self.margin, self.least, self.sharpness, self.memory = min_words, margin, least, sharpness, memory
+        self.min_words, self.margin, self.floor, self.least, self.sharpness, self.memory = min_words, margin, floor, least, sharpness, memory
         self.table = prototypes()
         # one form for full-width letters, ligatures, spaces and characters without an image; letters keep their script
         self.forms = {k: v for k, v in self.table.items() if v is None or v == " " or 0xFF01 <= k <= 0xFF5E or 0xFB00 <= k <= 0xFB06}
         self.others = {chr(k) for k in self.forms if k != 32}
         known = {c for _, t in samples for c in t}
         self.usual = known | {c.upper() for c in known} | set(map(chr, range(128))) | self.others | _COMBINING | set("–—‘’“”„…€")
-        #: None: no whole sentence; otherwise its language, None if it isn't clear, and the confidence
+        #: None: too few words; otherwise its language, None if it isn't clear, and the confidence
         self.seen: dict[str, tuple[str | None, float] | None] = {}
 
     def clean(self, text: str) -> str:
@@ -192,7 +199,7 @@ class Identifier:
         if len(self.seen) + len(fresh) > self.memory:
             self.seen.clear()
             fresh = list(sentences)
-        words = [[] if s.endswith("…") else sentence_words(s, self.table) for s in fresh]
+        words = [sentence_words(s, self.table) for s in fresh]
         ok = [i for i, w in enumerate(words) if len(w) >= self.min_words and sum(len(x) > 1 for x in w) >= 3]
         self.seen.update(dict.fromkeys(fresh))
         cos = self.profiles.cosines([words[i] for i in ok])
@@ -203,59 +210,70 @@ class Identifier:
             self.seen[fresh[i]] = (self.profiles.codes[f] if yes else None, float(p))
 
     def judge(self, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The best language of each row of cosines, its confidence, and whether it leaves the next one behind."""
+        """The best language of each row of cosines, its confidence, and whether it is clear: near enough to its prototype
+        (a language without one comes near none), and leaving the next one behind."""
         first = cos.argmax(axis=1)
         top = cos[np.arange(len(cos)), first]
         sure = 1 / np.exp((cos - top[:, None]) * self.sharpness).sum(axis=1)
         rest = cos.copy()
         rest[np.arange(len(cos)), first] = -np.inf
-        return first, sure, top - rest.max(axis=1) >= self.margin
+        return first, sure, (top - rest.max(axis=1) >= self.margin) & (top >= self.floor)
+
+    def pooled(self, sentences: list[str]) -> tuple[str, float, bool]:
+        """(language, confidence, clear) of the sum of several sentences' bundles."""
+        first, sure, clear = self.judge(self.profiles.cosines([[w for s in sentences for w in sentence_words(s, self.table)]]))
+        return self.profiles.codes[first[0]], float(sure[0]), bool(clear[0])
 
-    def stretches(self, texts: list[str], commits: list[bool]) -> list[list[tuple[str, float, int, bool]]]:
-        """[(language, confidence, sentences, clear)] of each text's stretches, in order; empty for texts made by machines.
+    def stretches(self, texts: list[str], commits: list[bool]) -> list[list[tuple[str, float, int, int, bool]]]:
+        """[(language, confidence, sentences, fragments, clear)] of each text's stretches, in order; empty for texts made
+        by machines.
 
-        Sentences without a clear language belong to the stretch around them, and so does a stretch whose language no
-        sentence of the text shows with the confidence `least`, unless the text has no other. Where no sentence is clear,
-        the whole sentences' bundles are summed and the text is one stretch in the best language."""
+        Whole sentences with a clear language make the stretches. Others, and fragments, belong to the stretch around them
+        (counted where their own language is clear and the same), and so does a stretch whose language no sentence of the
+        text shows with the confidence `least`, unless the text has no other. Where no whole sentence is clear, the bundles
+        of the whole sentences, or else of the fragments, are summed, and the text is one stretch in the best language."""
         proses = [prose(self.clean(t), c) for t, c in zip(texts, commits, strict=True)]
         self.sentences({s for p in proses for s in p.sentences})
-        whole = [[s for s in p.sentences if self.seen[s]] for p in proses]
-        vague = [i for i, ss in enumerate(whole) if ss and not any(self.seen[s][0] for s in ss)]
-        pooled: dict[int, tuple[str, float, int, bool]] = {}
-        if vague:
-            first, sure, clear = self.judge(self.profiles.cosines([[w for s in whole[i] for w in sentence_words(s, self.table)] for i in vague]))
-            pooled = {i: (self.profiles.codes[f], float(c), len(whole[i]), bool(yes)) for i, f, c, yes in zip(vague, first, sure, clear, strict=True)}
         out = []
-        for i, sentences in enumerate(whole):
-            if i in pooled:
-                out.append([pooled[i]])
+        for p in proses:
+            known = [(s, w) for s, w in zip(p.sentences, p.whole, strict=True) if self.seen[s]]
+            whole = [s for s, w in known if w]
+            if not any(self.seen[s][0] for s in whole):
+                if parts := whole or [s for s, _ in known]:
+                    lang, conf, clear = self.pooled(parts)
+                    out.append([(lang, conf, len(whole), len(known) - len(whole), clear)])
+                else:
+                    out.append([])
                 continue
-            hits = [self.seen[s] for s in sentences if self.seen[s][0]]
             best: dict[str, float] = {}
-            for lang, conf in hits:
-                best[lang] = max(conf, best.get(lang, 0))
-            main = max(best, key=best.__getitem__, default=None)
+            for s in whole:
+                lang, conf = self.seen[s]
+                if lang:
+                    best[lang] = max(conf, best.get(lang, 0))
+            main = max(best, key=best.__getitem__)
             runs: list[list] = []
-            for lang, conf in hits:
-                if lang != main and best[lang] < self.least:
+            for s, is_whole in known:
+                lang, conf = self.seen[s]
+                if not lang or (lang != main and best.get(lang, 0) < self.least):
                     continue
                 if runs and runs[-1][0] == lang:
                     runs[-1][1] += conf
-                    runs[-1][2] += 1
-                else:
-                    runs.append([lang, conf, 1])
-            out.append([(lang, conf / n, n, True) for lang, conf, n in runs])
+                    runs[-1][2 if is_whole else 3] += 1
+                elif is_whole:
+                    runs.append([lang, conf, 1, 0])
+            out.append([(lang, conf / (n + m), n, m, True) for lang, conf, n, m in runs])
         return out
 
 
 def identify(df: DataFrame, samples: list[tuple[str, str]], learned: list[Transformation] | None = None, text_col: str = "text", commit_col: str = "commit", out_col: str = "langs") -> DataFrame:
-    """`df` with an array column of stretches (language, confidence, sentences, clear), in the order of the text.
+    """`df` with an array column of stretches (language, confidence, sentences, fragments, clear), in the order of the
+    text; `sentences` counts whole ones.
 
-    `commit_col` (boolean) says which texts are commit messages. Null, blank and wordless texts, texts without a whole
-    sentence and messages made by machines give an empty array. Repeated rows get the same answer each.
+    `commit_col` (boolean) says which texts are commit messages. Null, blank and wordless texts, texts without a sentence
+    or fragment of four words and messages made by machines give an empty array. Repeated rows get the same answer each.
     """
 
-    @F.pandas_udf("array<struct<language:string,confidence:double,sentences:int,clear:boolean>>")
+    @F.pandas_udf("array<struct<language:string,confidence:double,sentences:int,fragments:int,clear:boolean>>")
     def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         ident = Identifier(samples, learned)
         for texts, commits in batches:
@@ -266,10 +284,10 @@ def identify(df: DataFrame, samples: list[tuple[str, str]], learned: list[Transf
 
 
 def label_cases(df: DataFrame, label_col: str, known: dict[str, str], langs_col: str = "langs") -> DataFrame:
-    """`df` with `code` (what the label says, null if unusable), `languages` (those really used, the most used first) and
-    `case`: `missing`, `wrong`, `mixed`, or null. A language that isn't clear gives a text without a label its language,
-    but calls no label wrong."""
-    used = F.array_distinct(F.expr(f"transform({langs_col}, x -> x.language)"))
+    """`df` with `code` (what the label says, null if unusable), `languages` (those of whole sentences, in the order of the
+    text) and `case`: `missing`, `wrong`, `mixed`, or null, also where no language has a whole sentence. A language that
+    isn't clear gives a text without a label its language, but calls no label wrong."""
+    used = F.array_distinct(F.expr(f"transform(filter({langs_col}, x -> x.sentences > 0), x -> x.language)"))
     out = df.withColumn("code", label_code(F.col(label_col), known)).withColumn("languages", used)
     case = F.when(F.size("languages") == 0, F.lit(None)).when(F.size("languages") > 1, "mixed").when(F.col("code").isNull(), "missing").when((F.col("code") != F.element_at("languages", 1)) & F.exists(langs_col, lambda x: x["clear"]), "wrong")
     return out.withColumn("case", case)

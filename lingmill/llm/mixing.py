@@ -2,14 +2,16 @@
 
 Method: Pfair scheduling. Every source's output is a row of blocks of equal size; block i of a source with weight w is
 released at slot floor(i / w) and due at ceil((i + 1) / w). One slot after the other goes to the released block that is
-due first, which keeps every source within one block of its share at any time. The schedule repeats itself after
-`slots` slots, so one period is computed, and every block finds its slot in it.
+due first, which keeps every source within one block of its share at any time. Weights are exact fractions. With weights
+n / N the schedule repeats itself exactly after N slots, where every source stands exactly at its share; so the slots of
+one period, or of the whole stream if that is shorter, hold for every block.
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,39 +19,36 @@ from pyspark.sql import functions as F
 from lingmill.session import cut_lineage
 
 
-def quotas(shares: dict[str, float], slots: int) -> dict[str, int]:
-    """Slots of each source in a period, by largest remainder; every source with a share has at least one."""
-    total = sum(shares.values())
-    exact = {s: x / total * slots for s, x in shares.items() if x > 0}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s)):
-        if sum(out.values()) >= slots:
-            break
-        out[s] += 1
-    while sum(out.values()) > slots:
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    return out
+def period_of(weights: dict[str, Fraction]) -> int:
+    """The slots after which the schedule of weights that sum to 1 repeats itself."""
+    return lcm(*(w.denominator for w in weights.values()))
 
 
-def pfair(quota: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    period = sum(quota.values())
-    weight = {s: Fraction(q, period) for s, q in quota.items()}
-    waiting = [(0, s, 0) for s in sorted(quota)]  # (release, source, block)
+def pfair(weights: dict[str, Fraction], slots: int) -> dict[str, list[int]]:
+    """The slots, among the first `slots`, of each source's blocks in order: earliest deadline first among the released
+    blocks. `weights` sum to 1."""
+    waiting = [(0, s, 0) for s in sorted(weights)]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in quota}
-    for slot in range(period):
+    out: dict[str, list[int]] = {s: [] for s in weights}
+    parts = {s: (w.numerator, w.denominator) for s, w in weights.items()}
+    for slot in range(slots):
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) // weight[s]), s, i))
+            n, d = parts[s]
+            heapq.heappush(ready, (-(-(i + 1) * d // n), s, i))
         _, s, i = heapq.heappop(ready)
         out[s].append(slot)
-        if i + 1 < quota[s]:
-            heapq.heappush(waiting, ((i + 1) // weight[s], s, i + 1))
+        n, d = parts[s]
+        heapq.heappush(waiting, ((i + 1) * d // n, s, i + 1))
     return out
 
 
+def slot_of(block: int, slots: list[int], period: int) -> int:
+    """The slot of a source's block; `slots` are those of its blocks in a period."""
+    return block // len(slots) * period + slots[block % len(slots)]
+
+
 def plan(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None) -> tuple[int, dict[str, int]]:
     """(total size, size wanted of each source). Without `total`, the largest mixture in which every source with records
     reaches its share. A source never gives more than `max_repeats` times what it has; one without records gives nothing,
@@ -63,13 +62,27 @@ def plan(targets: list[tuple[str, float, int]], available: dict[str, int], total
     return total, {s: min(round(total * share / mass), available[s] * cap) for s, (share, cap) in there.items()}
 
 
-def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, total: int | None = None, slots: int = 1000, block: int = 65_536, rows_per_bucket: int = 20_000) -> DataFrame:
+def exact_weights(targets: list[tuple[str, float, int]], wanted: dict[str, int], total: int) -> dict[str, Fraction]:
+    """The weights of the schedule: the target shares as the decimal fractions they are written as, among the sources that
+    give something; where a source can't give its share, the sizes that are wanted of each."""
+    shares = {s: Fraction(str(share)) for s, share, _ in targets if s in wanted}
+    mass = sum(shares.values())
+    if any(abs(w - total * shares[s] / mass) > 1 for s, w in wanted.items()):
+        shares, mass = {s: Fraction(w) for s, w in wanted.items()}, Fraction(sum(wanted.values()))
+    return {s: x / mass for s, x in shares.items()}
+
+
+def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, total: int | None = None, slots: int = 1000, block: int = 65_536, most_slots: int = 200_000, rows_per_bucket: int = 20_000) -> DataFrame:
     """(id, source, copy, tokens, slot, place): the records of the mixture, in the order of slot and place.
 
     `targets`: source, target_share, max_repeats, one row per source; at most 10,000 rows, since the plan is made on the
     driver from one sum per source. Records of other sources, and records without tokens, are not part of the mixture.
     Copies of a record are numbered from 0. A source's records come in the order of a hash of their id, so a cut falls on
     a random part; that order is found from sums over buckets of bounded size, so a hot source is no task of its own.
+
+    The stream has at least `slots` slots and blocks of at most `block` tokens, as long as the schedule's period or the
+    stream has no more than `most_slots` slots, which bounds the table that is broadcast; otherwise blocks are larger. At
+    the end of every block each source's size is less than one block from its share.
     """
     rows = targets.limit(10_001).collect()
     if len(rows) > 10_000:
@@ -87,11 +100,21 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_co
     wanted = {s: w for s, w in wanted.items() if w > 0}
     if not wanted:
         return items.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.lit(0).alias("copy"), "tokens", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("place")).limit(0)
-    quota = quotas({s: float(w) for s, w in wanted.items()}, max(slots, len(wanted)))
-    table = pfair(quota)
-    # a block is as large as the mixture's share of a slot allows; small mixtures get smaller blocks
-    block = max(1, min(block, goal // max(slots, len(wanted))))
-    info = F.broadcast(spark.createDataFrame([(s, available[s], wanted[s], quota[s], table[s]) for s in wanted], "source string, have long, want long, quota int, slots array<int>"))
+    weights = exact_weights(wanted_rows, wanted, goal)
+    # small mixtures get smaller blocks
+    size = sum(wanted.values())
+    block = max(1, min(block, size // max(slots, len(wanted))))
+    period = period_of(weights)
+    if min(period, size // block + len(wanted)) > most_slots:
+        block = -(-size // (most_slots - len(wanted)))
+    stream = size // block + 2 * len(wanted) + 1
+    table = pfair(weights, min(period, stream))
+    if period > stream:
+        period = stream
+        for s, w in wanted.items():
+            if len(table[s]) * block < w:  # the source's last block, due after the end of the stream
+                table[s].append(stream)
+    info = F.broadcast(spark.createDataFrame([(s, available[s], wanted[s], len(table[s]), table[s]) for s in wanted], "source string, have long, want long, quota long, slots array<long>"))
     buckets = max(1, -(-sum(r["n"] for r in sums) // rows_per_bucket))
     order = F.xxhash64("id", "tokens")
     placed = items.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -102,7 +125,7 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_co
     laid = placed.join(offsets, ["source", "bucket"]).withColumn("at", at).join(info, "source")
     copies = laid.withColumn("copy", F.explode(F.sequence(F.lit(0), F.expr("cast((want - 1) div have as int)")))).withColumn("at", F.col("at") + F.col("copy") * F.col("have")).filter("at < want")
     number = F.expr(f"at div {block}")
-    slot = F.expr(f"(at div {block}) div quota * {sum(quota.values())}") + F.element_at("slots", (number % F.col("quota") + 1).cast("int"))
+    slot = F.expr(f"(at div {block}) div quota * {period}L") + F.element_at("slots", (number % F.col("quota") + 1).cast("int"))
     return copies.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "copy", "tokens", slot.alias("slot"), (F.col("at") % block).alias("place"))
 
 

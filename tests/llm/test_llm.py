@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -110,6 +111,16 @@ def test_prose():
     assert prose(text, True).sentences == ["Title is here", "One wrapped sentence ends.", "Two!"]
     for machine in ("Merge branch 'x' into y", "Bump a from 1.0 to 1.1", 'Revert "x"', "0123456789 ci-runner[bot] 2024-01-01\nDone it all over again."):
         assert prose(machine, True).machine, machine
+    # a mark counts wherever it stands in a message
+    for pad in ("", "Word. " * 20, "Word. " * 200):
+        assert prose(f"Title\n\n{pad}\nThis [skip ci] ends.", True).machine and prose(f"Title\n\n{pad}It was generated by a script.", True).machine
+        assert not prose(f"Title\n\n{pad}It skips the check.", True).machine
+    for human in ("Automatic retries now honour the limit", "Author: Bot Tester <x@y.z>\n\nTitle of a change", "Release the lock in time"):
+        assert not prose(human, True).machine, human
+    # fragments are looked at, and known as such
+    p = prose("The title trails off…\n\nA whole one. And then it\n\nends …\n", True)
+    assert p.sentences == ["The title trails off…", "A whole one.", "And then it", "ends …"] and p.whole == [False, True, False, False]
+    assert prose("One is whole. The other one trails …", False).whole == [True, False]
     assert prose("", True).sentences == [] and prose("A b. / C d.", False).sentences == ["A b.", "C d."]
 
 
@@ -129,12 +140,12 @@ def test_language_without_a_clear_sentence(spark):
     ident = langlabel.Identifier(SAMPLES, margin=2.0)  # no sentence is ever clear
     de, ru = SENTENCES["DE"], SENTENCES["RU"]
     (one,), (two,), none, machine = ident.stretches([de[0], f"{ru[0]} {ru[1]}", "wip", "Merge branch 'x' into y"], [False, False, False, True])
-    assert (one[0], one[2], one[3]) == ("DE", 1, False) and (two[0], two[2]) == ("RU", 2) and 0 < one[1] <= 1 and none == machine == []
+    assert (one[0], one[2], one[4]) == ("DE", 1, False) and (two[0], two[2]) == ("RU", 2) and 0 < one[1] <= 1 and none == machine == []
     # clear sentences decide alone
-    assert [(x[0], x[3]) for x in langlabel.Identifier(SAMPLES).stretches([f"{SENTENCES['EN'][0]} {ru[0]}"], [False])[0]] == [("EN", True), ("RU", True)]
-    rows = [(0, "en", [("DE", 0.4, 1, False)]), (1, None, [("DE", 0.4, 1, False)]), (2, "en", [("DE", 0.9, 1, True)])]
-    df = spark.createDataFrame(rows, "id int, label string, langs array<struct<language:string,confidence:double,sentences:int,clear:boolean>>")
-    assert {r["id"]: r["case"] for r in langlabel.label_cases(df, "label", KNOWN).collect()} == {0: None, 1: "missing", 2: "wrong"}
+    assert [(x[0], x[4]) for x in langlabel.Identifier(SAMPLES).stretches([f"{SENTENCES['EN'][0]} {ru[0]}"], [False])[0]] == [("EN", True), ("RU", True)]
+    rows = [(0, "en", [("DE", 0.4, 1, 0, False)]), (1, None, [("DE", 0.4, 1, 0, False)]), (2, "en", [("DE", 0.9, 1, 0, True)]), (3, "en", [("DE", 0.9, 0, 2, True)])]
+    df = spark.createDataFrame(rows, "id int, label string, langs array<struct<language:string,confidence:double,sentences:int,fragments:int,clear:boolean>>")
+    assert {r["id"]: r["case"] for r in langlabel.label_cases(df, "label", KNOWN).collect()} == {0: None, 1: "missing", 2: "wrong", 3: None}
 
 
 def test_profiles_hold_out():
@@ -147,11 +158,12 @@ def test_profiles_hold_out():
         tests += [(lang, rng.sample(words, 6)) for _ in range(30)]
     best = p.cosines([w for _, w in tests]).argmax(axis=1)
     assert np.mean([p.codes[b] == lang for b, (lang, _) in zip(best, tests, strict=True)]) > 0.97
-    # products of n-grams add up to the product of the text's own vector
-    words = tests[0][1]
-    v = sum(p.gram(g).astype(float) for w in words for g in p.spell(w))
-    exact = p.proto @ v / np.linalg.norm(v)
-    assert np.allclose(exact, p.cosines([words])[0], atol=0.1)
+    # the cosine of the text's own vector, also where words repeat, with any memory
+    small = langlabel.Profiles(memory=4).fit(train)
+    for words in (tests[0][1], ["the"] * 5, ["the"] * 50 + ["die"], ["die"] * 200, ["a" * 12_000, "der", "der"], tests[5][1] * 9):
+        v = sum(p.bundle(w).astype(float) for w in words)
+        for q in (p, small):
+            assert np.allclose(p.proto @ v / np.linalg.norm(v), q.cosines([words])[0], atol=1e-4) and abs(q.cosines([words])).max() <= 1
 
 
 def garbled_corpus():
@@ -249,6 +261,14 @@ def test_tokens(spark):
     enc = tokens.encoding(tokens.DEFAULT_VOCABULARY)
     for t in ("", "Hello world", "ж" * 100, "word\n" * 50_000 + "  tail"):
         assert tokens.count_tokens(t, enc) == len(enc.encode_ordinary(t))
+    # the shapes at which chunks would be cut, on both sides of any length of a run
+    rng = random.Random(12)
+    for _ in range(3000):
+        t = "".join(rng.choice(["  ", "\n", "\t", " ", "\x85", "\u3000", "a", "B1", "}", "…", "ж", "    ", "\x1c", "\u200b"]) for _ in range(rng.randint(0, 30)))
+        assert {tokens.count_tokens(t, enc, run) for run in (1, 2, 3, 5, 1000)} == {len(enc.encode_ordinary(t))}, t
+    t = "    \n    }\n\nx…" * 17_400
+    assert tokens.count_tokens(t, enc) == len(enc.encode_ordinary(t))
+    assert tokens.count_tokens(f"x{' ' * 2_000_000}y", enc) == tokens.count_tokens("x", enc) + tokens.count_tokens(" " * 1_999_999, enc) + tokens.count_tokens(" y", enc)
     got = odd(spark).select("doc_id", tokens.token_count(F.col("text")).alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in got} == {i: None if t is None else len(enc.encode_ordinary(t)) for i, t in enumerate(ODD)}
 
@@ -282,15 +302,40 @@ def test_pack(spark):
     assert {r["container"] for r in rows if not r["tokens"]} == {None} and packing.pack(df.limit(0), "doc_id", "tokens", 100).count() == 0
 
 
+def exact(parts):
+    return {f"s{i}": Fraction(n, sum(parts)) for i, n in enumerate(parts)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=8))
-def test_pfair_deviation(quota):
-    q = {f"s{i}": n for i, n in enumerate(quota)}
-    table, period = mixing.pfair(q), sum(quota)
-    assert sorted(x for xs in table.values() for x in xs) == list(range(period))
+def test_pfair_deviation(parts):
+    weights = exact(parts)
+    period = mixing.period_of(weights)
+    table = mixing.pfair(weights, 2 * period)
+    assert sorted(x for xs in table.values() for x in xs) == list(range(2 * period))
     for s, slots in table.items():
-        for t in range(period + 1):
-            assert abs(sum(x < t for x in slots) - t * q[s] / period) < 1
+        for t in range(2 * period + 1):
+            assert abs(sum(x < t for x in slots) - t * weights[s]) < 1
+        one = mixing.pfair(weights, period)[s]
+        assert slots == [mixing.slot_of(i, one, period) for i in range(len(slots))]
+
+
+def test_pfair_over_a_whole_stream():
+    # 10**12 tokens in blocks of 65,536: the slot of any block comes from the exact period, and stays within a block
+    targets = [("a", 0.3375, 1), ("b", 0.0125, 1), ("c", 0.25, 1), ("d", 0.4, 1)]
+    total, block = 10**12, 65_536
+    weights = mixing.exact_weights(targets, {s: round(total * w) for s, w, _ in targets}, total)
+    assert weights["b"] == Fraction(1, 80) and mixing.period_of(weights) == 80
+    table = mixing.pfair(weights, 80)
+    for s, w in weights.items():
+        last = int(total * w) // block
+        for i in [*range(200), *random.Random(1).sample(range(last), 2000), last - 1, last]:
+            slot = mixing.slot_of(i, table[s], 80)
+            assert i // w <= slot < -(-(i + 1) // w)  # released and not overdue: less than one block off, before and after
+    # weights that are no short decimals: the whole stream is laid out
+    odd = exact([999_983, 314_159, 27, 1])
+    for s, slots in mixing.pfair(odd, 5000).items():
+        assert all(i // odd[s] <= x < -(-(i + 1) // odd[s]) for i, x in enumerate(slots))
 
 
 def test_mix(spark):
@@ -312,6 +357,11 @@ def test_mix(spark):
         if total > 5000:
             assert abs(run["small"] / total - 0.25) < 0.06
     assert mixing.mix(df.limit(0), targets, "doc_id", "source", "tokens").count() == 0
+    # a given total, a source that can't give its share, weights without a short period
+    few = mixing.mix(df, targets, "doc_id", "source", "tokens", total=60_000, most_slots=2000).collect()
+    assert Counter(r["source"] for r in few).keys() == {"big", "mid", "small"} and len({(r["doc_id"], r["copy"]) for r in few}) == len(few)
+    own = [(r["slot"], r["place"]) for r in few if r["source"] == "mid"]
+    assert len(set(own)) == len(own)
     assert mixing.plan([("a", 0.5, 1), ("b", 0.5, 3)], {"a": 100, "b": 20}) == (120, {"a": 60, "b": 60})
     assert mixing.plan([("a", 0.5, 1), ("b", 0.5, 1)], {"a": 100}) == (100, {"a": 100})
 
