@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,34 +18,54 @@ from pyspark.sql import functions as F
 
 from lingmill.session import cut_lineage
 
-# Letters of other scripts that look like a Latin letter, in the order of the prototypes.
-CYRILLIC = "АВЕКМНОРСТХУІЈЅԌԚԜаеорсхуіјѕԁԛԝһӏѵ"
-CYRILLIC_PROTOTYPES = "ABEKMHOPCTXYIJSGQWaeopcxyijsdqwhlv"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ"
-GREEK_PROTOTYPES = "ABEZHIKMNOPTYXoj"
-ARMENIAN = "օհոսՍ"
-ARMENIAN_PROTOTYPES = "ohnuU"
-NUMERALS = "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ"
-NUMERAL_PROTOTYPES = "IVXLCDMivxlcdm"
-JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz"}
-HYPHENS = "‐‑"
-
-
+# Letters and signs that look like another one in common fonts, each line in the order of its prototypes.
+CYRILLIC = "АВЕКМНОРСТХУҮІЈЅԌԚԜѴаеорсхуүіјѕԁԛԝһӀӏѵ"
+CYRILLIC_PROTOTYPES = "ABEKMHOPCTXYYIJSGQWVaeopcxyyijsdqwhllv"
+SCHWA_AND_OTHERS = "ӘәӨөѲѳӔӕӠӡ"
+SCHWA_AND_OTHERS_PROTOTYPES = "ƏəƟɵƟɵÆæƷʒ"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺϜϒαινορυϲϳ"
+GREEK_PROTOTYPES = "ABEZHIKMNOPTYXCMFYaivopucj"
+ARMENIAN = "ՍՏԼՕօհոսցզյ"
+ARMENIAN_PROTOTYPES = "USLOohnugqj"
+CHEROKEE = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏎᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ"
+CHEROKEE_PROTOTYPES = "DRTiYAJEWMHYGhZ4bRWSVSLCPKdGB"
+COPTIC = "ⲀⲂⲤⲎⲒⲔⲘⲚⲞⲢⲦⲨⲬⲥⲟⲣ"
+COPTIC_PROTOTYPES = "ABCHIKMNOPTYXcop"
+LISU = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_PROTOTYPES = "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+SYLLABICS = "ᑌᑭᒍᒪᕼᖴᗅᗪᗷᐯ"
+SYLLABICS_PROTOTYPES = "UPJLHFADBV"
+LATIN = "ɡɑıȷɩɪʋᴏᴄᴠᴡᴢꜱᴜſƖ"
+LATIN_PROTOTYPES = "gaijiiuocvwzsufl"
+SIGNS = "‐‑․꞉∶⁄∕ǃ"
+SIGN_PROTOTYPES = "--.:://!"
+JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ﬅ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz"}
+#: Format characters with an image (number and verse signs that enclose what follows).
+VISIBLE_FORMATS = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
+#: Characters without an image that are no format characters: fillers and the like.
+FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+
+
+@lru_cache(maxsize=1)
 def prototypes() -> dict[int, str | None]:
-    """The look-alike table: listed letters, full-width forms by their offset, every space as the space, characters
-    without an image (format characters, variation selectors, fillers) as nothing. Digits above the line, quotes and
-    dashes of other shape stay as they are: a reader sees the difference."""
-    table: dict[int, str | None] = {}
-    for a, b in ((CYRILLIC, CYRILLIC_PROTOTYPES), (GREEK, GREEK_PROTOTYPES), (ARMENIAN, ARMENIAN_PROTOTYPES), (NUMERALS, NUMERAL_PROTOTYPES)):
-        table |= {ord(x): y for x, y in zip(a, b, strict=True)}
-    table |= {ord(x): y for x, y in JOINED.items()} | {ord(x): "-" for x in HYPHENS}
-    table |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms of the printable ASCII characters
+    """The look-alike table: listed letters and signs; full- and half-width forms, letters of mathematical fonts and Roman
+    numerals by their compatibility mapping; every space as the space; characters without an image (format characters,
+    variation selectors, fillers) as nothing. Digits above the line, quotes and dashes of other shape stay as they are:
+    a reader sees the difference."""
+    lists = ((CYRILLIC, CYRILLIC_PROTOTYPES), (SCHWA_AND_OTHERS, SCHWA_AND_OTHERS_PROTOTYPES), (GREEK, GREEK_PROTOTYPES), (ARMENIAN, ARMENIAN_PROTOTYPES), (CHEROKEE, CHEROKEE_PROTOTYPES))
+    lists += ((COPTIC, COPTIC_PROTOTYPES), (LISU, LISU_PROTOTYPES), (SYLLABICS, SYLLABICS_PROTOTYPES), (LATIN, LATIN_PROTOTYPES), (SIGNS, SIGN_PROTOTYPES))
+    table: dict[int, str | None] = {ord(x): y for a, b in lists for x, y in zip(a, b, strict=True)} | {ord(x): y for x, y in JOINED.items()}
+    letters = dict(table)
     for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))
+        char = chr(c)
+        kind = unicodedata.category(char)
         if kind == "Zs":
             table[c] = " "
-        elif kind == "Cf" or 0xFE00 <= c <= 0xFE0F or c in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0):
+        elif (kind == "Cf" and char not in VISIBLE_FORMATS) or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF or char in FILLERS:
             table[c] = None
+        elif unicodedata.decomposition(char).startswith(("<font>", "<wide>", "<narrow>")) or 0x2160 <= c <= 0x217F:
+            # half-width marks and vowels stand for themselves, as their ordinary forms do
+            table[c] = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", char)).translate(letters)
     return table
 
 
@@ -92,14 +113,18 @@ def lookalike_classes(df: DataFrame, id_col: str, text_col: str = "text", within
     )
 
 
-def lookalike_pairs(df: DataFrame, id_col: str, text_col: str = "text", within: list[str] | None = None) -> DataFrame:
+def lookalike_pairs(df: DataFrame, id_col: str, text_col: str = "text", within: list[str] | None = None, rows_per_task: int = 20_000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts look the same although their characters differ.
 
     Classes with one form (exact copies only, however many) are dropped by a pre-aggregated min/max of the forms before
-    any pairing, so a hot text never meets itself. Classes with several forms are joined form against form.
+    any pairing, so a hot text never meets itself. Classes with several forms are joined form against form; one with more
+    than `rows_per_task` rows is cut into as many parts as that takes, each of which meets the whole class in a task of
+    its own. Where two forms are both frequent, so are their pairs: `lookalike_classes` says the same in one row per row.
     """
     rows = cut_lineage(lookalike_classes(df, id_col, text_col, within).select(F.col(id_col).alias("id"), F.unhex("class").alias("class"), F.unhex("form").alias("form")))
-    mixed = rows.groupBy("class").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo <> hi").select("class")
-    kept = rows.join(mixed, "class", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    return a.join(b, (F.col("a.class") == F.col("b.class")) & (F.col("a.form") != F.col("b.form")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    mixed = rows.groupBy("class").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    kept = rows.join(mixed.select("class", F.ceil(F.col("n") / rows_per_task).cast("int").alias("parts")), "class")
+    a = kept.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
+    b = kept.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    same = (F.col("a.class") == F.col("b.class")) & (F.col("a.part") == F.col("b.part"))
+    return a.join(b, same & (F.col("a.form") != F.col("b.form")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
