@@ -1,18 +1,17 @@
 """Problem 10: reading level of each document.
 
-Method: smoothed unigram language models per grade level. Texts seeded by a readability formula train one model per
-level and language group; a document gets the level under which its words are most likely, given the levels' priors.
+Method: smoothed unigram language models per grade level. All texts, seeded with a level by a readability formula with
+fixed bands, train one model per level and language group; a document gets the level under which its words are most
+likely, given how common the levels are in its group.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,30 +20,33 @@ from pyspark.sql import functions as F
 from lingmill.llm.message import message, prose
 from lingmill.session import cut_lineage
 
-LEVELS = 5
-#: Formula values are counted in steps of 1/100 up to 1,000, so a histogram has a bounded number of bins.
-_STEP, _TOP = 100, 100_000
+#: The usual bands of the readability index LIX: very easy, easy, medium, difficult, very difficult.
+BANDS = (30, 40, 50, 60)
+LEVELS = len(BANDS) + 1
+_LONG = 6
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 def measures(sentences: list[str]) -> tuple[int, int, int]:
-    """(sentences, words, letters) of prose; sentences without a word don't count."""
+    """(sentences, words, words of more than six letters) of prose; sentences without a word don't count."""
     words = [w for w in (_WORD.findall(s) for s in sentences) if w]
-    return len(words), sum(map(len, words)), sum(len(w) for ws in words for w in ws)
+    return len(words), sum(map(len, words)), sum(len(w) > _LONG for ws in words for w in ws)
 
 
 def formula(sentences: list[str]) -> float | None:
-    """The automated readability index, 4.71 letters a word + 0.5 words a sentence - 21.43; None without words."""
-    n, words, letters = measures(sentences)
-    return 4.71 * letters / words + 0.5 * words / n - 21.43 if words else None
+    """The readability index LIX, words a sentence + percent of long words, which is used alike for many European
+    languages; None without words."""
+    n, words, long = measures(sentences)
+    return words / n + 100 * long / words if words else None
 
 
-def _words(sentences: list[str]) -> list[str]:
-    return [w.lower() for s in sentences for w in _WORD.findall(s)]
+def level_of(value: float) -> int:
+    """The level, 1 the easiest, of a formula value."""
+    return 1 + sum(value >= b for b in BANDS)
 
 
-def _bin(value: float) -> int:
-    return min(_TOP, math.floor(value * _STEP))
+def _words(sentences: list[str]) -> list[str]:
+    return [w.lower() for s in sentences for w in _WORD.findall(s)]
 
 
 _NONE: Counter = Counter()
@@ -52,11 +54,11 @@ _NONE: Counter = Counter()
 
 @dataclass
 class LevelModel:
-    """Unigram counts by script group and level. Languages differ in the length of their words, so formula values are
-    cut into levels by quantiles within a text's group: its commonest short words decide the group."""
+    """Unigram counts and numbers of texts by language group and level; a text's commonest short words decide its group.
+    Levels are absolute: they are the formula's bands, the same for all groups."""
 
-    cuts: dict[str, list[float]] = field(default_factory=dict)
     groups: dict[str, str] = field(default_factory=dict)
+    texts: dict[tuple[str, int], int] = field(default_factory=dict)
     words: dict[tuple[str, int], Counter] = field(default_factory=dict)
     totals: dict[tuple[str, int], int] = field(default_factory=dict)
     vocabulary: dict[str, Counter] = field(default_factory=dict)
@@ -79,15 +81,16 @@ class LevelModel:
         return m
 
     @classmethod
-    def fit(cls, texts: list[list[str]], samples: list[tuple[str, str]], vocabulary: int = 50_000) -> LevelModel:
+    def fit(cls, texts: list[list[str]], samples: list[tuple[str, str]], vocabulary: int = 20_000) -> LevelModel:
         """`texts`: sentences of the seeded training texts; `samples`: (language, text) for the groups' words."""
         m = cls.of_samples(samples)
-        seeded = [(m.group(words), _bin(formula(sentences)), words) for sentences in texts if (words := _words(sentences))]
-        m.cut(Counter((g, b) for g, b, _ in seeded))
         counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0] * LEVELS)
-        for g, b, words in seeded:
-            for w in words:
-                counts[g, w][m.level(g, b) - 1] += 1
+        for sentences in texts:
+            if words := _words(sentences):
+                g, level = m.group(words), level_of(formula(sentences))
+                m.texts[g, level] = m.texts.get((g, level), 0) + 1
+                for w in words:
+                    counts[g, w][level - 1] += 1
         rank: Counter = Counter()
         for (g, w), n in sorted(counts.items(), key=lambda x: (-sum(x[1]), x[0])):
             rank[g] += 1
@@ -95,16 +98,6 @@ class LevelModel:
                 m.learn(g, w, n)
         return m
 
-    def cut(self, histogram: dict[tuple[str, int], int]) -> None:
-        """Sets each group's cuts from its texts by (group, bin)."""
-        for g in {g for g, _ in histogram}:
-            bins = sorted((b, n) for (x, b), n in histogram.items() if x == g)
-            total, ends = sum(n for _, n in bins), list(accumulate(n for _, n in bins))
-            self.cuts[g] = [bins[bisect_right(ends, total * k // LEVELS)][0] / _STEP for k in range(1, LEVELS)]
-
-    def level(self, group: str, b: int) -> int:
-        return 1 + sum(b >= round(c * _STEP) for c in self.cuts[group])
-
     def learn(self, group: str, word: str, counts: list[int]) -> None:
         """Takes a word's counts by level."""
         self.vocabulary.setdefault(group, Counter())[word] = sum(counts)
@@ -114,7 +107,8 @@ class LevelModel:
                 self.totals[group, level] = self.totals.get((group, level), 0) + n
 
     def posterior(self, words: list[str]) -> tuple[str, list[float]] | None:
-        """(group, probability of each level) of a text's words; None without words.
+        """(group, probability of each level) of a text's words; None without words. A level no text of the group has is
+        not possible.
 
         Words are independent draws in the model but not in texts, so evidence is taken per word times its square root."""
         if not words:
@@ -125,24 +119,28 @@ class LevelModel:
             if not g:
                 return None
         whole, mass = self.vocabulary[g], sum(self.totals.get((g, level), 0) for level in range(1, LEVELS + 1))
+        n_texts = sum(self.texts.get((g, level), 0) for level in range(1, LEVELS + 1))
         known = [(w, n) for w, n in Counter(words).items() if w in whole]
-        if not known:
-            return g, [1 / LEVELS] * LEVELS
+        temper = 1 / math.sqrt(max(1, sum(n for _, n in known)))
         scores = []
         for level in range(1, LEVELS + 1):
+            if not (n := self.texts.get((g, level), 0)):
+                scores.append(-math.inf)
+                continue
             c, total = self.words.get((g, level), _NONE), self.totals.get((g, level), 0)
-            scores.append(sum(n * math.log((c[w] + self.alpha * whole[w] / mass) / (total + self.alpha)) for w, n in known))
-        temper = 1 / math.sqrt(sum(n for _, n in known))
-        e = [math.exp((s - max(scores)) * temper) for s in scores]
+            likely = sum(n * math.log((c[w] + self.alpha * whole[w] / mass) / (total + self.alpha)) for w, n in known)
+            scores.append(likely * temper + math.log(n / n_texts))
+        e = [math.exp(s - max(scores)) for s in scores]
         return g, [x / sum(e) for x in e]
 
 
 def measured(df: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", commit: bool = True) -> DataFrame:
-    """(id, words, language_group, bin, formula, n_sentences, n_words): one row per row of `df`, `words` those of its
-    prose in lower case with a space between, null where there is none. Texts are taken apart here and nowhere else."""
+    """(id, words, language_group, seed, formula, n_sentences, n_words): one row per row of `df`, `words` those of its
+    prose in lower case with a space between, null where there is none; `seed` is the formula's level. Texts are taken
+    apart here and nowhere else."""
     model = LevelModel.of_samples(samples)
 
-    @F.pandas_udf("struct<words:string,language_group:string,bin:int,formula:double,n_sentences:int,n_words:int>")
+    @F.pandas_udf("struct<words:string,language_group:string,seed:int,formula:double,n_sentences:int,n_words:int>")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = []
@@ -151,26 +149,23 @@ def measured(df: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_i
                 words = _words(p.sentences) if p and not p.machine else []
                 if words:
                     value, (n, count, _) = formula(p.sentences), measures(p.sentences)
-                    rows.append((" ".join(words), model.group(words), _bin(value), value, n, count))
+                    rows.append((" ".join(words), model.group(words), level_of(value), value, n, count))
                 else:
                     rows.append((None, None, None, None, 0, 0))
-            yield pd.DataFrame(rows, columns=["words", "language_group", "bin", "formula", "n_sentences", "n_words"]).astype({"bin": "Int32"})
+            yield pd.DataFrame(rows, columns=["words", "language_group", "seed", "formula", "n_sentences", "n_words"]).astype({"seed": "Int32"})
 
     text = message(F.col(text_col)) if commit else F.col(text_col)
     # not to be evaluated once for each of its fields
     return df.select(F.col(id_col), f.asNondeterministic()(text).alias("r")).select(id_col, "r.*")
 
 
-def train_measured(rows: DataFrame, samples: list[tuple[str, str]], vocabulary: int = 50_000) -> LevelModel:
-    """A model from all rows of `measured`. The driver gets histograms and each group's `vocabulary` commonest words."""
+def train_measured(rows: DataFrame, samples: list[tuple[str, str]], vocabulary: int = 20_000) -> LevelModel:
+    """A model from all rows of `measured`. The driver gets one count per group and level and each group's `vocabulary`
+    commonest words with their counts by level; groups are the samples' languages, so both are bounded."""
     model, texts = LevelModel.of_samples(samples), rows.filter("words is not null")
-    model.cut({(r["language_group"], r["bin"]): r["n"] for r in texts.groupBy("language_group", "bin").agg(F.count("*").alias("n")).collect()})
-    if not model.cuts:
-        return model
-    cuts = F.create_map(*(x for g, cs in sorted(model.cuts.items()) for x in (F.lit(g), F.array(*(F.lit(round(c * _STEP)) for c in cs)))))
-    level = F.size(F.filter(F.element_at(cuts, F.col("language_group")), lambda c: F.col("bin") >= c)) + 1
-    words = texts.select("language_group", level.alias("level"), F.explode(F.split("words", " ")).alias("word"))
-    counts = words.groupBy("language_group", "word").agg(*(F.count(F.when(F.col("level") == k, 1)).alias(f"n{k}") for k in range(1, LEVELS + 1)))
+    model.texts = {(r["language_group"], r["seed"]): r["n"] for r in texts.groupBy("language_group", "seed").agg(F.count("*").alias("n")).collect()}
+    words = texts.select("language_group", "seed", F.explode(F.split("words", " ")).alias("word"))
+    counts = words.groupBy("language_group", "word").agg(*(F.count(F.when(F.col("seed") == k, 1)).alias(f"n{k}") for k in range(1, LEVELS + 1)))
     counts = counts.withColumn("n", sum((F.col(f"n{k}") for k in range(1, LEVELS + 1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("language_group").orderBy(F.desc("n"), "word"))
     for r in counts.withColumn("rank", rank).filter(F.col("rank") <= vocabulary).collect():
