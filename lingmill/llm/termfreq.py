@@ -1,8 +1,9 @@
 """Problem 6: frequency of every distinct value or term.
 
-Method: heavy-light aggregation. Heavy terms are detected by a bounded sketch over all rows and broadcast; they are
-counted in exact local arrays, one per task, of which only the sums travel. The remaining terms are shuffled once by
-term. Both count tables are united.
+Method: heavy-light aggregation. Heavy terms are detected by a bounded sketch over all rows and broadcast. Rows
+delivered again count once and documents are counted, so a heavy term's rows first meet by document: each task packs
+those of a (term, document) into one row of (portion, count) pairs before that shuffle, and behind it counts them in
+exact local arrays, of which only the sums go on. The remaining terms are shuffled once by term. Both tables are united.
 """
 
 from __future__ import annotations
@@ -24,17 +25,52 @@ def counting_rows(df: DataFrame) -> DataFrame:
     return df.select(*_COLS).filter(~blank(F.col("value")) & (F.col("count") >= 1))
 
 
-def heavy_terms(df: DataFrame, k: int = 64, tracked: int = 4096, share: float = 0.002) -> list[str]:
-    """At most `k` terms of `df` whose share of the rows is `share` or more, by a sketch of `tracked` counters over all rows.
+def heavy_terms(df: DataFrame, tracked: int = 65_536, share: float | None = None) -> list[str]:
+    """The terms of `df` whose share of the rows is `share` or more, by a sketch of `tracked` counters over all rows. By
+    default a term is heavy if its rows fill half an average task of the shuffle or more, so there are at most twice as
+    many heavy terms as shuffle partitions, and every light term fits into a task with others.
 
     Which terms are taken for heavy changes where they are counted, never what is counted.
     """
-    row = df.select(F.expr(f"approx_top_k(value, {k}, {tracked})").alias("top"), F.count("*").alias("n")).first()
+    tasks = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = 0.5 / tasks if share is None else share
+    k = min(10_000, int(1 / share) + 1)
+    row = df.select(F.expr(f"approx_top_k(value, {k}, {max(tracked, 4 * k)})").alias("top"), F.count("*").alias("n")).first()
     return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= max(2, share * row["n"])]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, grp, doc, cells): the distinct (portion, count) of each heavy term and document in a task, the term by its
+    number; handed on after every 100,000 pairs, so a task holds no more."""
+    seen: dict[tuple, set] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        keys = list(seen)
+        return pa.RecordBatch.from_pydict(
+            {
+                "at": pa.array([k[0] for k in keys], pa.int32()),
+                "grp": pa.array([k[1] for k in keys], pa.string()),
+                "doc": pa.array([k[2] for k in keys], pa.string()),
+                "cells": pa.array([[{"portion": p, "count": c} for p, c in seen[k]] for k in keys], pa.list_(pa.struct([("portion", pa.int64()), ("count", pa.int64())]))),
+            }
+        )
+
+    for b in batches:
+        for at, grp, doc, portion, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            cell = seen.setdefault((at, grp, doc), set())
+            size -= len(cell)
+            cell.add((portion, count))
+            size += len(cell)
+        if size > 100_000:
+            yield flush()
+            seen.clear()
+            size = 0
+    yield flush()
+
+
 def _local_counts(terms: list[str]):
-    """Counts of each heavy term among a task's rows (distinct, all rows of a document in the same task)."""
+    """Counts of each heavy term among a task's (term, document) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = (np.zeros(len(terms), dtype=np.int64) for _ in range(2))
@@ -62,14 +98,16 @@ def term_counts(df: DataFrame, heavy: list[str] | None = None) -> DataFrame:
     if heavy:
         is_heavy = F.col("value").isin(heavy)
         light = rows.filter(~is_heavy)
-        # a heavy term's rows meet by document; what reaches the shuffle is already distinct within its task
         at = F.element_at(F.create_map(*(x for i, t in enumerate(heavy) for x in (F.lit(t), F.lit(i)))), F.col("value"))
+        packed = rows.filter(is_heavy).select(at.alias("at"), *(F.col(c).cast("string").alias(c) for c in ("grp", "doc")), *(F.col(c).cast("long").alias(c) for c in ("portion", "count"))).mapInArrow(_pack, "at int, grp string, doc string, cells array<struct<portion:long,count:long>>")
+        # one shuffle, by term and document; the steps after it keep that partitioning
         per_doc = (
-            rows.filter(is_heavy)
-            .select(at.alias("at"), "grp", "doc", "portion", "count")
-            .distinct()
+            packed.repartition("at", "grp", "doc")
+            .select("at", "grp", "doc", F.explode("cells").alias("c"))
+            .groupBy("at", "grp", "doc", "c.portion", "c.count")
+            .agg(F.lit(1).alias("one"))
             .groupBy("at", "grp", "doc")
-            .agg(F.sum(F.col("count").cast("long")).alias("total"))
+            .agg(F.sum("count").alias("total"))
             .select("at", "total")
         )
         tables.append(per_doc.mapInArrow(_local_counts(heavy), "value string, total long, docs long").groupBy("value").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")))
