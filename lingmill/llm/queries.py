@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,27 +40,32 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(spread(table(spark, d, "documents")))
 
 
+#: (table, id, columns in which rows must agree) of the tables with texts that may look the same
+LOOKALIKES = (("documents", "doc_id", None), ("requests", "req_id", None), ("model_pairs", "pair_id", ["language"]))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for name, id_col, within in (("documents", "doc_id", None), ("requests", "req_id", None), ("model_pairs", "pair_id", ["language"])):
-        pairs = skeleton.lookalike_pairs(spread(table(spark, d, name)), id_col, "text", within).select(F.lit(name).alias("tbl"), "id_a", "id_b")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    parts = [skeleton.lookalike_pairs(spread(table(spark, d, name)), id_col, "text", within).select(F.lit(name).alias("tbl"), "id_a", "id_b") for name, id_col, within in LOOKALIKES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    return skeleton.lookalike_classes(spread(table(spark, d, "requests")), "req_id")
+    """(tbl, id, class, form): the class and the form of every row with a text."""
+    parts = [skeleton.lookalike_classes(spread(table(spark, d, name)), id_col, "text", within).select(F.lit(name).alias("tbl"), F.col(id_col).alias("id"), "class", "form") for name, id_col, within in LOOKALIKES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p4_langs(spark: SparkSession, d: str) -> DataFrame:
     """(tbl, row_id, label, langs): the stretches of every document's message and every request."""
     docs = spread(table(spark, d, "documents")).select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), message(F.col("text")).alias("text"), F.col("lang").alias("label"), F.lit(True).alias("commit"))
-    answers = table(spark, d, "responses").filter("rank_no = 1").groupBy("req_id").agg(F.max_by("l", F.struct("logged_at", "resp_id")).alias("label"))
-    reqs = spread(table(spark, d, "requests")).select("req_id", "text").join(answers, "req_id", "left").select(F.lit("requests").alias("tbl"), F.col("req_id").alias("row_id"), "text", "label", F.lit(False).alias("commit"))
-    both = docs.unionByName(reqs)
+    reqs = spread(table(spark, d, "requests")).select(F.lit("requests").alias("tbl"), F.col("req_id").alias("row_id"), "text", F.lit(None).cast("string").alias("label"), F.lit(False).alias("commit"))
     known = samples(spark, d)
-    learned = mojibake.learn(both, [t for _, t in known])
-    return langlabel.identify(both, known, learned).select("tbl", "row_id", "label", "langs")
+    learned = mojibake.learn(docs.select("text").unionByName(reqs.select("text")), [t for _, t in known])
+    looked = [langlabel.identify(x, known, learned).select("tbl", "row_id", "label", "langs") for x in (docs, reqs)]
+    # the answers meet the languages found, not the texts
+    answers = table(spark, d, "responses").filter("rank_no = 1").groupBy("req_id").agg(F.max_by("l", F.struct("logged_at", "resp_id")).alias("answer"))
+    labelled = looked[1].join(answers, F.col("row_id") == F.col("req_id"), "left").select("tbl", "row_id", F.col("answer").alias("label"), "langs")
+    return looked[0].unionByName(labelled)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
