@@ -10,9 +10,7 @@ WHITE = "\\t-\\r \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029
 #: Symbols that separate words besides punctuation.
 SEPARATING_SYMBOLS = "¥©¤¦§®¶€™<>"
 #: Punctuation that may stand inside a word.
-WORD_PUNCTUATION = "&'\\-._\\x{00AD}\\x{055A}\\x{055B}\\x{055D}\\x{2012}\\x{2013}\\x{2014}\\x{2015}\\x{2018}\\x{2019}\\x{201B}"
-#: What a pure number may hold besides digits, as far as it can occur inside a run.
-NUMBER_SIGNS = ".\\-–´°"
+IN_WORD = "&'-._\u00ad\u055a\u055b\u055d\u2012\u2013\u2014\u2015\u2018\u2019\u201b"
 #: Dots, path separators, degree signs.
 DOTS = ".\uffff"
 SLASHES = "/\\"

@@ -5,77 +5,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lingmill.functions.tokenize import tokens_exact
-from lingmill.functions.urls import Scanner, UrlRules
+from lingmill.functions.scan import word_lists
+from lingmill.functions.urls import UrlRules, find_urls
 from lingmill.operators.detect import LocalDetector
 
 
 def register(spark: SparkSession, rules: UrlRules | None = None, detector: LocalDetector | None = None) -> None:
-    """Functions `tokenize(text)`, `url_spans(text)`, and, with a detector, `language_scores(text)`; table functions
+    """Functions `tokenize(text)`, `url_spans(text)`, and, with a detector, `detect_language(text)`; table functions
     `words(text)` and `extract_urls(text)`."""
     rules = rules or UrlRules.default(spark)
 
-    @F.pandas_udf("array<string>")
-    def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if t is None else tokens_exact(t, rules) for t in s], dtype=object)
+    @F.arrow_udf("array<string>")
+    def tokenize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield word_lists(a, rules)
 
     @F.pandas_udf("array<struct<start:int,length:int,value:string>>")
     def url_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([None if t is None else [(a, b - a, t[a:b]) for a, b in Scanner(t, rules).spans()] for t in s], dtype=object)
+            yield pd.Series([None if t is None else [(a, b - a, t[a:b]) for a, b in find_urls(t, rules)] for t in s], dtype=object)
 
     @F.udtf(returnType="pos int, term string")
     class Words:
         def eval(self, text: str):
-            yield from enumerate(tokens_exact(text, rules) if text is not None else [])
+            yield from enumerate(word_lists(pa.array([text]), rules)[0].as_py() or [])
 
     @F.udtf(returnType="start int, length int, value string")
     class Urls:
         def eval(self, text: str):
             if text is not None:
-                yield from ((a, b - a, text[a:b]) for a, b in Scanner(text, rules).spans())
+                yield from ((a, b - a, text[a:b]) for a, b in find_urls(text, rules))
 
     spark.udf.register("tokenize", tokenize)
     spark.udf.register("url_spans", url_spans)
     spark.udtf.register("words", Words)
     spark.udtf.register("extract_urls", Urls)
     if detector is not None:
-        table, c = detector.table, detector.config
-
-        @F.pandas_udf("array<struct<lang:string,weight:double,percent:int>>")
-        def detect_language(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = table.value
-            for s in batches:
-                yield pd.Series([[] if t is None else decide(tokens_exact(t, rules), model, c) for t in s], dtype=object)
-
-        spark.udf.register("detect_language", detect_language)
-
-
-def decide(words: list[str], model: dict, c) -> list[tuple[str, float, int]]:
-    """The ranked languages of one text, by the detector's rules."""
-    if not words:
-        return []
-    sums: dict[str, list[float]] = {}
-    detected = 0
-    for i, w in enumerate(words):
-        found = False
-        for g in (w, f"{words[i - 1]} {w}" if i else None):
-            for lang, weight, hits in model.get(g, ()):
-                acc = sums.setdefault(lang, [0.0, 0])
-                acc[0], acc[1], found = acc[0] + weight, acc[1] + hits, True
-        detected += found
-    if len(words) > c.word_count and 100 * detected // len(words) < c.min_percent_of_words:
-        return []
-    scored = {lang: w * h / len(words) for lang, (w, h) in sums.items()}
-    total = sum(scored.values())
-    if total <= 0:
-        return []
-    out = [(lang, w, int(round(w * 100 / total, 9))) for lang, w in sorted(scored.items(), key=lambda x: (-x[1], x[0]))]
-    out = [x for x in out if x[1] >= c.min_weight and x[2] >= c.min_percent]
-    if len(out) >= 3 and out[0][2] - out[1][2] <= c.three_language_gap and out[1][2] - out[2][2] <= c.three_language_gap:
-        return []
-    return out
+        spark.udf.register("detect_language", detector.sql_function(rules))

@@ -1,87 +1,29 @@
-"""Tokenizers: the main one as JVM expressions, its exact form for single strings, and the simple one."""
+"""Tokenizers: the main one, over Arrow batches, and the simple one, as JVM expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lingmill.functions.chars import DOTS, NUMBER_SIGNS, SEPARATING_SYMBOLS, SPLIT_MARK, WHITE, WORD_PUNCTUATION, until_nul, upper, upper_py
-from lingmill.functions.urls import Scanner, UrlRules, _kind, url_mask
+from lingmill.functions import scan
+from lingmill.functions.chars import DOTS, WHITE, upper
+from lingmill.functions.urls import UrlRules
 
-SEPARATOR = f"[\\p{{P}}{SEPARATING_SYMBOLS}&&[^{WORD_PUNCTUATION}]][\\p{{P}}{WHITE}]*"
-_OUT = f"{WHITE}{SPLIT_MARK}{SEPARATING_SYMBOLS}\\p{{P}}"
-#: Characters of a run; those of them that are neither letter nor digit; letters and digits.
-_RUN, _JUNK, _CORE = f"[[^{_OUT}][{WORD_PUNCTUATION}]]", f"[[^{_OUT}\\p{{L}}\\p{{Nd}}][{WORD_PUNCTUATION}]]", "[\\p{L}\\p{Nd}]"
-#: A text is a row of these: a separator with all punctuation and white space after it; a number before a space; a run
-#: that trimming would leave with one character or none; any other run, whose middle is the word.
-WORDS = (
-    f"{SEPARATOR}|[\\p{{Nd}}{NUMBER_SIGNS}]++(?= )|(?:{_JUNK}++{_CORE}?{_JUNK}*+|{_CORE}{_JUNK}++)(?!{_RUN})|{_JUNK}*+({_CORE}(?:{_RUN}*{_CORE})?){_JUNK}*+"
-)
 LETTER_EDGES = "^[^\\p{L}]+|[^\\p{L}]+$"
 
 
-def tokens_of_masked(masked: Column) -> Column:
-    """Words of a text whose URLs are masked: separators (with all punctuation and white space after them) and white
-    space end a run; a number followed by a space is dropped; a run is trimmed to letters and digits, upper-cased.
-
-    All in one pass over the text, none over an array."""
-    return F.array_remove(F.regexp_extract_all(upper(masked), F.lit(WORDS), F.lit(1)), "")
-
-
 def tokens(text: Column, rules: UrlRules | None = None) -> Column:
     """Words of a text, in order; URLs (by `rules`) are no words. Null gives null, a wordless text an empty array."""
-    return tokens_of_masked(url_mask(text, rules) if rules else until_nul(text))
-
-
-def tokens_exact(text: str, rules: UrlRules) -> list[str]:
-    """The main tokenizer by a character scan, as the reference point for `tokens`; also right for a number glued to
-    the start of a URL."""
-    scan = Scanner(text, rules)
-    t, urls = scan.t, scan.spans()
-    out: list[str] = []
-
-    def digitlike(c: str) -> bool:
-        return c.isdecimal() or c in ";,:./\\- –〃´°"
-
-    def word(a: int, b: int, check: bool) -> None:
-        if a >= b or (check and all(digitlike(c) for c in t[a:b]) and b < len(t) and digitlike(t[b])):
-            return
-        x, y = a, b
-        edge = lambda c: _kind(c)[0] or c.isdecimal()
-        while x < b and not edge(t[x]):
-            x += 1
-        while y - 1 > x and not edge(t[y - 1]):
-            y -= 1
-        if (x, y) != (a, b) and y - x <= 1:
-            return
-        out.append(upper_py(t[x:y]))
-
-    start = i = k = 0
-    while i < len(t):
-        if k < len(urls) and urls[k][0] <= i:
-            word(start, i, True)
-            start = i = max(urls[k][1], 0)
-            k += 1
-            continue
-        _, white, punct, _ = _kind(t[i])
-        separator = t[i] in SEPARATING_SYMBOLS or (punct and not _in_word(t[i]))
-        if white:
-            word(start, i, True)
-            start = i + 1
-        elif separator:
-            word(start, i, False)
-            i += 1
-            while i < len(t) and (_kind(t[i])[1] or _kind(t[i])[2]):
-                i += 1
-            start = i
-            continue
-        i += 1
-    word(start, len(t), True)
-    return out
 
+    @F.arrow_udf("array<string>")
+    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield scan.word_lists(a, rules)
 
-def _in_word(c: str) -> bool:
-    return c in "&'-._­՚՛՝‒–—―‘’‛"
+    return words(text)
 
 
 def simple_tokens(text: Column) -> Column:

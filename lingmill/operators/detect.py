@@ -1,72 +1,230 @@
 """Language detection: 1- and 2-grams of each text against a model, thresholds, ranked languages.
 
-Two physical forms with the same result: `scores` joins (any model size, one small shuffle by text), `detect_local`
-looks n-grams up in a broadcast dictionary row by row (streams, SQL function; the model's size is checked).
+Two physical forms with the same result. The local form looks hashes of n-grams up in arrays that every executor fetches
+once as files, batch by batch and without a shuffle, also on streams and as SQL function; it holds any model whose arrays
+stay below a checked size, that of 19 languages with 6.6 million n-grams included. Larger models are joined.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingmill.config import DetectorConfig
+from lingmill.functions import scan
+from lingmill.functions.urls import UrlRules
 from lingmill.operators.model import merged
+from lingmill.session import checkpoint_dir, cut_lineage
 
-#: A model of at most so many distinct (n-gram, language) rows is broadcast, a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
-_MATCH = "array<struct<lang:string,weight:double,hits:bigint>>"
+#: A model whose arrays take at most so many bytes in each Python worker is looked up locally, a larger one is joined.
+LOCAL_BYTES = 512 * 1024 * 1024
+_ROW_BYTES = 8 + 4 + 2 + 4 + 8
+_CELLS = "array<struct<lang:string,weight_sum:double,hits:long>>"
 
 
-def scores(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "tokens", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+@dataclass
+class LocalModel:
+    """Rows of a model in the order of their n-grams' keys, and where the rows of each range of keys begin."""
+
+    key: np.ndarray
+    check: np.ndarray
+    lang: np.ndarray
+    hits: np.ndarray
+    weight: np.ndarray
+    begin: np.ndarray
+    shift: np.uint64
+
+    @classmethod
+    def load(cls, paths: list[str]) -> LocalModel:
+        t = pq.ParquetDataset(paths).read(columns=["key", "check", "lang", "hits", "weight"]) if paths else None
+        cols = [t[c].to_numpy() if t is not None and len(t) else np.zeros(0) for c in ("key", "check", "lang", "hits", "weight")]
+        key = cols[0].astype(np.int64).view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        bits = max(1, min(24, int(len(key)).bit_length()))
+        shift = np.uint64(64 - bits)
+        begin = np.concatenate([[0], np.cumsum(np.bincount((key >> shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+        kinds = (np.uint32, np.int16, np.int32, np.float64)
+        return cls(key, *(c.astype(np.int64 if k is np.uint32 else k)[order].astype(k) for c, k in zip(cols[1:], kinds, strict=True)), begin, shift)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of every row of the model with the key and check of a query."""
+        part = (key >> self.shift).astype(np.int64)
+        row, stop = self.begin[part], self.begin[part + 1]
+        query = np.flatnonzero(row < stop)
+        row, stop = row[query], stop[query]
+        queries, rows = [], []
+        while len(query):
+            hit = (self.key[row] == key[query]) & (self.check[row] == check[query])
+            queries.append(query[hit])
+            rows.append(row[hit])
+            row = row + 1
+            more = row < stop
+            query, row, stop = query[more], row[more], stop[more]
+        return (np.concatenate(queries), np.concatenate(rows)) if queries else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def score(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(detected words of each text, weights and hits by text and language) of texts given as words."""
+        n, texts = len(offsets) - 1, len(counts)
+        text = np.repeat(np.arange(texts), counts)
+        one = scan.hashes(data, offsets)
+        second = np.flatnonzero(text[1:] == text[:-1]) + 1 if n else np.zeros(0, np.int64)  # words with one before them
+        two = scan.pair_hashes([h[second - 1] for h in one], [h[second] for h in one], np.diff(offsets)[second - 1])
+        found = np.zeros(n, dtype=bool)
+        cells, rows = [], []
+        for h, word in ((one, np.arange(n)), (two, second)):
+            q, r = self.find(*scan.keys(h))
+            found[word[q]] = True
+            cells.append(text[word[q]] * n_langs + self.lang[r])
+            rows.append(r)
+        cell, row = np.concatenate(cells), np.concatenate(rows)
+        size = texts * n_langs
+        weights = np.bincount(cell, weights=self.weight[row], minlength=size)
+        hits = np.bincount(cell, weights=self.hits[row], minlength=size).astype(np.int64)
+        return np.bincount(text[found], minlength=texts), weights.reshape(texts, n_langs), hits.reshape(texts, n_langs)
+
+
+_loaded: dict[tuple[str, ...], LocalModel] = {}
+
+
+def _local(files: tuple[str, ...]) -> LocalModel:
+    """The model of some files, read once for each Python worker; at most two are kept."""
+    if files not in _loaded:
+        while len(_loaded) > 1:
+            _loaded.pop(next(iter(_loaded)))
+        _loaded[files] = LocalModel.load([SparkFiles.get(f) for f in files])
+    return _loaded[files]
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        key, check = scan.keys(scan.hashes(*scan.strings(b.column("ngram"))))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.astype(np.int64)), b.column("lang"), b.column("hits"), b.column("weight")], ["key", "check", "lang", "hits", "weight"])
+
+
+class LocalDetector:
+    """A model as files on the executors, for detection row by row.
+
+    Making one runs jobs: the model is merged, hashed and written to the shared checkpoint folder, in files that Spark
+    hands to the executors. A model of more than `max_bytes` in arrays is an error."""
+
+    def __init__(self, model: DataFrame, config: DetectorConfig | None = None, max_bytes: int = LOCAL_BYTES, merged_model: DataFrame | None = None):
+        cells = merged_model if merged_model is not None else cut_lineage(merged(model))
+        rows = cells.count()
+        if rows * _ROW_BYTES > max_bytes:
+            raise ValueError(f"a model of {rows} rows takes more than {max_bytes} bytes; use the joining form")
+        spark = cells.sparkSession
+        self.langs = sorted(r["lang"] for r in cells.select("lang").distinct().limit(32_768).collect())
+        if len(self.langs) > 32_767:
+            raise ValueError("more than 32,767 languages")
+        self.config = config or DetectorConfig()
+        self.files: tuple[str, ...] = ()
+        if rows:
+            number = F.element_at(F.create_map(*(x for i, c in enumerate(self.langs) for x in (F.lit(c), F.lit(i)))), F.col("lang"))
+            path = f"{checkpoint_dir(spark)}/local-model-{uuid.uuid4().hex}"
+            packed = cells.select("ngram", number.alias("lang"), F.col("hits").cast("int").alias("hits"), "weight").mapInArrow(_hash_rows, "key long, check long, lang int, hits int, weight double")
+            packed.coalesce(max(1, rows * _ROW_BYTES // (64 * 1024 * 1024))).write.parquet(path)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+            found = [f.getPath() for f in listed if f.getPath().getName().endswith(".parquet")]
+            for f in found:
+                spark.sparkContext.addFile(f.toString())
+            self.files = tuple(sorted(f.getName() for f in found))
+
+    def scored(self, tokens: Column) -> Column:
+        """(terms, detected, x) of a token array, x the (lang, weight_sum, hits) of each language."""
+        files, langs = self.files, self.langs
+        names = pa.array([*langs], pa.string())
+
+        @F.arrow_udf(f"struct<terms:int,detected:long,x:{_CELLS}>")
+        def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model = _local(files)
+            for a in batches:
+                yield pa.concat_arrays([_score(model, part, names) for part in _slices(a)]) if len(a) else _score(model, a, names)
+
+        return f(tokens)
+
+    def detect(self, df: DataFrame, tokens: Column) -> DataFrame:
+        """`df` with `reason` and `langs`; no shuffle, so also on a stream in append mode."""
+        rows = df.withColumn("_s", self.scored(tokens)).select("*", "_s.terms", "_s.detected", _weighed("_s").alias("x"))
+        return _decide(rows, self.config).drop("_s", "terms", "detected", "x", "total", "kept")
+
+    def sql_function(self, rules: UrlRules | None):
+        """A function text -> array<struct<lang,weight,percent>> for SQL."""
+        files, langs, config = self.files, self.langs, self.config
+
+        @F.arrow_udf("array<struct<lang:string,weight:double,percent:int>>")
+        def detect_language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model, names = _local(files), pa.array(langs, pa.string())
+            for a in batches:
+                rows = _score(model, scan.word_lists(a, rules), names).to_pylist()
+                got = [[dict(zip(("lang", "weight", "percent"), x, strict=True)) for x in decide(r["terms"], r["detected"], [(x["lang"], x["weight_sum"], x["hits"]) for x in r["x"]], config)] for r in rows]
+                yield pa.array(got, pa.list_(pa.struct([("lang", pa.string()), ("weight", pa.float64()), ("percent", pa.int32())])))
+
+        return detect_language
+
+
+def _slices(a: pa.Array) -> Iterator[pa.Array]:
+    """Parts of an array of texts with some 100,000 words each, so the arrays stay small."""
+    ends = np.cumsum(np.nan_to_num(a.value_lengths().to_numpy(zero_copy_only=False)))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // 100_000)) + 1).tolist(), len(a)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if j > i:
+            yield a.slice(i, j - i)
+
+
+def _score(model: LocalModel, words: pa.Array, names: pa.Array) -> pa.Array:
+    """The struct of `LocalDetector.scored` for an array of word lists."""
+    counts = np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    detected, weights, hits = model.score(*scan.strings(words.flatten()), counts, max(1, len(names)))
+    text, lang = np.nonzero(hits)
+    cells = pa.StructArray.from_arrays([names.take(pa.array(lang)) if len(lang) else pa.array([], pa.string()), pa.array(weights[text, lang]), pa.array(hits[text, lang])], ["lang", "weight_sum", "hits"])
+    at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(counts)))])
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), pa.array(detected.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), cells)], ["terms", "detected", "x"])
+
+
+def scores(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "tokens", local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """(id, terms, detected, lang, weight_sum, hits): per text and matching language. `terms` counts its tokens,
     `detected` those that match alone or with the one before. Texts without a match have one row with a null `lang`.
 
-    Each text is one row of `docs` with a unique id.
+    Each text is one row of `docs` with a unique id. The model is merged and counted by jobs that run at once.
     """
-    cells = merged(model)
-    small = cells.limit(broadcast_rows + 1).count() <= broadcast_rows
-    by_gram = cells.groupBy("ngram").agg(F.collect_list(F.struct("lang", "weight", "hits")).alias("m"))
+    rows = _scored(docs, model, id_col, tokens_col, local_bytes)
+    out = rows.select(id_col, "terms", "detected", F.explode_outer("x").alias("c"))
+    return out.select(id_col, "terms", "detected", "c.lang", "c.weight_sum", "c.hits")
+
+
+def _scored(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str, local_bytes: int) -> DataFrame:
+    """(id, terms, detected, x) of each text, by the form that the model's size allows."""
+    cells = cut_lineage(merged(model))
+    if cells.count() * _ROW_BYTES <= local_bytes:
+        return docs.select(id_col, LocalDetector(model, max_bytes=local_bytes, merged_model=cells).scored(F.col(tokens_col)).alias("s")).select(id_col, "s.*")
     t = F.col(tokens_col)
+    size = F.greatest(F.coalesce(F.size(t), F.lit(0)), F.lit(0))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(t), F.lit(0)).alias("terms"), F.posexplode_outer(F.arrays_zip(t.alias("one"), before.alias("before"))).alias("pos", "p"))
-    two = F.concat(F.col("p.before"), F.lit(" "), F.col("p.one"))
-    base = base.filter("terms <= 0 or p.one is not null").select("id", "terms", "pos", F.col("p.one").alias("one"), two.alias("two"))
-    if small:
-        # both lookups in the row of a token; the same broadcast serves both
-        side = F.broadcast(by_gram)
-        found = base.join(side.select(F.col("ngram").alias("one"), F.col("m").alias("m1")), "one", "left").join(side.select(F.col("ngram").alias("two"), F.col("m").alias("m2")), "two", "left")
-        both = F.concat(F.coalesce("m1", F.array().cast(_MATCH)), F.coalesce("m2", F.array().cast(_MATCH)))
-    else:
-        # one shuffle by n-gram, then the two n-grams of a token meet again
-        grams = base.select("id", "terms", "pos", F.explode_outer(F.array("one", "two")).alias("ngram")).join(by_gram, "ngram", "left")
-        found = grams.groupBy("id", "terms", "pos").agg(F.collect_list("m").alias("ms"))
-        both = F.flatten("ms")
-    # besides its matches a token gives one row without language: whether it was detected
-    matches = F.concat(both, F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("weight"), (F.size(both) > 0).cast("long").alias("hits"))))
-    per = found.select("id", "terms", F.explode(matches).alias("x")).groupBy("id", "terms", "x.lang").agg(F.sum("x.weight").alias("weight_sum"), F.sum("x.hits").alias("hits"))
-    some = Window.partitionBy("id")
-    out = per.withColumn("detected", F.max(F.when(F.col("lang").isNull(), F.col("hits"))).over(some)).withColumn("any", F.max(F.col("lang").isNotNull()).over(some))
-    out = out.filter("lang is not null or not any")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.greatest("terms", F.lit(0)).alias("terms"),
-        "detected",
-        "lang",
-        F.when(F.col("lang").isNotNull(), F.col("weight_sum")).alias("weight_sum"),
-        F.when(F.col("lang").isNotNull(), F.col("hits")).alias("hits"),
-    )
+    pairs = docs.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(t.alias("one"), before.alias("before"))).alias("pos", "p")).filter("p.one is not null")
+    # only n-grams travel, none is null; the model is a plain scan, so a frequent n-gram's rows can be split at run time
+    grams = pairs.select("id", "pos", F.explode(F.array_compact(F.array("p.one", F.concat(F.col("p.before"), F.lit(" "), F.col("p.one"))))).alias("ngram"))
+    found = cut_lineage(grams.join(cells, "ngram").select("id", "pos", "lang", "weight", "hits"))
+    per = found.groupBy("id", "lang").agg(F.sum("weight").alias("weight_sum"), F.sum("hits").alias("hits"))
+    per = per.groupBy("id").agg(F.collect_list(F.struct("lang", "weight_sum", "hits")).alias("x"))
+    seen = found.groupBy("id", "pos").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("detected"))
+    out = docs.select(F.col(id_col).alias("id"), size.cast("int").alias("terms")).join(seen, "id", "left").join(per, "id", "left")
+    return out.select(F.col("id").alias(id_col), "terms", F.coalesce("detected", F.lit(0).cast("long")).alias("detected"), F.coalesce("x", F.array().cast(_CELLS)).alias("x"))
 
 
-def ranked(scored: DataFrame, id_col: str, config: DetectorConfig | None = None) -> DataFrame:
-    """(id, reason, langs): `langs` the array of (lang, weight, percent), the best first; empty with a `reason` otherwise:
-    `no terms`, `few detected words`, `no weight`, `below thresholds`, `three close languages`."""
-    c = config or DetectorConfig()
-    w = F.when(F.col("terms") > 0, F.col("weight_sum") * F.col("hits") / F.col("terms"))
-    rows = scored.groupBy(id_col).agg(F.first("terms").alias("terms"), F.first("detected").alias("detected"), F.array_compact(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct(w.alias("weight"), "lang")))).alias("x"))
-    return _decide(rows, c).select(id_col, "reason", "langs")
+def _weighed(struct: str = "") -> Column:
+    """The (weight, lang) of each language, weight = sum of weights x hits / terms."""
+    at = f"{struct}." if struct else ""
+    return F.transform(F.col(f"{at}x"), lambda e: F.struct((e["weight_sum"] * e["hits"] / F.col(f"{at}terms")).alias("weight"), e["lang"].alias("lang")))
 
 
 def _decide(rows: DataFrame, c: DetectorConfig) -> DataFrame:
@@ -90,9 +248,12 @@ def _decide(rows: DataFrame, c: DetectorConfig) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("langs", F.when(F.col("reason").isNull(), F.col("kept")).otherwise(empty))
 
 
-def detect(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "tokens", config: DetectorConfig | None = None) -> DataFrame:
-    """(id, reason, langs) of texts given as token arrays. Null token arrays have no terms."""
-    return ranked(scores(docs, model, id_col, tokens_col), id_col, config)
+def detect(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "tokens", config: DetectorConfig | None = None, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+    """(id, reason, langs) of texts given as token arrays: `langs` the array of (lang, weight, percent), the best first;
+    empty with a `reason` otherwise: `no terms`, `few detected words`, `no weight`, `below thresholds`, `three close
+    languages`. Null token arrays have no terms."""
+    rows = _scored(docs, model, id_col, tokens_col, local_bytes).select(id_col, "terms", "detected", _weighed().alias("x"))
+    return _decide(rows, config or DetectorConfig()).select(id_col, "reason", "langs")
 
 
 def long_form(detected: DataFrame, id_col: str) -> DataFrame:
@@ -120,50 +281,16 @@ def as_json(langs: Column, names: dict[str, str], error: Column | None = None) -
     return answer if error is None else F.when(error.isNotNull(), F.to_json(F.struct(error.alias("err")))).otherwise(answer)
 
 
-class LocalDetector:
-    """A model as a dictionary on the executors, for row-local detection."""
-
-    def __init__(self, model: DataFrame, config: DetectorConfig | None = None, max_rows: int = BROADCAST_ROWS):
-        rows = merged(model).limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            raise ValueError(f"the model has more than {max_rows} rows; use the joining form")
-        table: dict[str, list[tuple[str, float, int]]] = {}
-        for r in rows:
-            table.setdefault(r["ngram"], []).append((r["lang"], r["weight"], r["hits"]))
-        self.table = model.sparkSession.sparkContext.broadcast(table)
-        self.config = config or DetectorConfig()
-
-    def scored(self, tokens: Column) -> Column:
-        """(terms, detected, x) of a token array."""
-        table = self.table
-
-        @F.pandas_udf("struct<terms:int,detected:long,x:array<struct<weight:double,lang:string>>>")
-        def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            model = table.value
-            for s in batches:
-                rows = []
-                for words in s:
-                    if words is None or len(words) == 0:
-                        rows.append((0, 0, []))
-                        continue
-                    sums: dict[str, list[float]] = {}
-                    detected, before = 0, None
-                    for w in words:
-                        found = False
-                        for g in (w, f"{before} {w}" if before is not None else None):
-                            for lang, weight, hits in model.get(g, ()):
-                                found = True
-                                acc = sums.setdefault(lang, [0.0, 0])
-                                acc[0] += weight
-                                acc[1] += hits
-                        detected += found
-                        before = w
-                    rows.append((len(words), detected, [(w * h / len(words), lang) for lang, (w, h) in sums.items()]))
-                yield pd.DataFrame(rows, columns=["terms", "detected", "x"])
-
-        return f(tokens)
-
-    def detect(self, df: DataFrame, tokens: Column) -> DataFrame:
-        """`df` with `reason` and `langs`; no shuffle, so also on a stream in append mode."""
-        rows = df.withColumn("_s", self.scored(tokens)).select("*", "_s.*")
-        return _decide(rows, self.config).drop("_s", "terms", "detected", "x", "total", "kept")
+def decide(terms: int, detected: int, sums: list[tuple[str, float, int]], c: DetectorConfig) -> list[tuple[str, float, int]]:
+    """`_decide` for one text: the ranked (lang, weight, percent) of (lang, sum of weights, hits)."""
+    if not terms or (terms > c.word_count and 100 * detected // terms < c.min_percent_of_words):
+        return []
+    scored = [(lang, w * h / terms) for lang, w, h in sums]
+    total = sum(w for _, w in scored)
+    if total <= 0:
+        return []
+    out = [(lang, w, int(round(w * 100 / total, 9))) for lang, w in sorted(scored, key=lambda x: (-x[1], x[0]))]
+    out = [x for x in out if x[1] >= c.min_weight and x[2] >= c.min_percent]
+    if len(out) >= 3 and out[0][2] - out[1][2] <= c.three_language_gap and out[1][2] - out[2][2] <= c.three_language_gap:
+        return []
+    return out

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingmill.config import CUTS, DetectorConfig, EngineConfig, RussianConfig, TrainConfig
-from lingmill.functions.register import decide
 from lingmill.operators import detect as D
 from lingmill.operators import model as M
 from lingmill.operators import russian as R
@@ -111,24 +110,62 @@ def test_detect_example(spark):
     assert D.detect(t.limit(0), model(spark), "id").count() == 0
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_detect_against_brute_force(spark, small):
+def brute_force(words, table, config=None):
+    """The ranked languages of one text, word by word."""
+    sums, detected = {}, 0
+    for i, w in enumerate(words):
+        found = False
+        for g in (w, f"{words[i - 1]} {w}" if i else None):
+            for lang, weight in table.get(g, ()):
+                acc = sums.setdefault(lang, [0.0, 0])
+                acc[0], acc[1], found = acc[0] + weight, acc[1] + 1, True
+        detected += found
+    return D.decide(len(words), detected, [(lang, w, h) for lang, (w, h) in sums.items()], config or DetectorConfig())
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_detect_against_brute_force(spark, local):
     import random
 
     rng = random.Random(1)
-    words = [f"W{i}" for i in range(12)]
+    words = [f"W{i}" for i in range(12)] + ["ЖЁ", "É"]
     rows = [(rng.choice(words) if rng.random() < 0.6 else f"{rng.choice(words)} {rng.choice(words)}", rng.choice(["EN", "DE", "FR", "ES"]), rng.random()) for _ in range(60)]
     rows += rows[:10]  # the same n-gram and language twice counts twice
     ts = [" ".join(rng.choice([*words, "X", "Y"]) for _ in range(rng.randint(0, 20))) for _ in range(40)]
     t, m = texts(spark, ts), model(spark, rows)
-    got = {r["id"]: [tuple(x) for x in r["langs"]] for r in D.ranked(D.scores(t, m, "id", broadcast_rows=10**6 if small else 0), "id").collect()}
+    got = {r["id"]: [tuple(x) for x in r["langs"]] for r in D.detect(t, m, "id", local_bytes=D.LOCAL_BYTES if local else 0).collect()}
     table = {}
     for g, lang, w in rows:
-        table.setdefault(g, []).append((lang, w, 1))
-    local = {r["id"]: [tuple(x) for x in r["langs"]] for r in D.LocalDetector(m).detect(t, F.col("tokens")).collect()}
+        table.setdefault(g, []).append((lang, w))
+    for i, s in enumerate(ts):
+        assert got[i] == [(a, pytest.approx(w), p) for a, w, p in brute_force(s.split(), table)]
+    per = {(r["id"], r["lang"]): (r["terms"], r["detected"], r["hits"]) for r in D.scores(t, m, "id", local_bytes=D.LOCAL_BYTES if local else 0).collect()}
     for i, s in enumerate(ts):
-        want = [(a, pytest.approx(w), p) for a, w, p in decide(s.split(), table, DetectorConfig())]
-        assert got[i] == want and local[i] == want
+        ws = s.split()
+        grams = [[w] + ([f"{ws[k - 1]} {w}"] if k else []) for k, w in enumerate(ws)]
+        hits = Counter(lang for gs in grams for g in gs for lang, _ in table.get(g, ()))
+        assert {lang for j, lang in per if j == i} == (set(hits) or {None})
+        for lang in set(hits) or {None}:
+            assert per[i, lang] == (len(ws), sum(any(g in table for g in gs) for gs in grams), hits.get(lang) if lang else None)
+
+
+def test_local_model_of_any_size(spark):
+    """Many n-grams, longer than a hash's words, found and not found; empty and too large models."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lingmill.functions import scan
+
+    n = 200_000
+    m = spark.range(n).select(F.concat(F.lit("N"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 1, F.concat(F.lit(" G"), F.col("id").cast("string"))).otherwise("")).alias("ngram"), F.lit("EN").alias("lang"), F.lit(1.0).alias("weight"))
+    t = texts(spark, ["n0 n1 g1 n3 g4 n2", "g3 n3 g3 n199999 g199999", "x" * 70_000])
+    got = {r["id"]: (r["terms"], r["detected"], r["hits"]) for r in D.scores(t, m, "id").collect()}
+    assert got == {0: (6, 3, 3), 1: (5, 2, 2), 2: (1, 0, None)}
+    keys, checks = scan.keys(scan.hashes(*scan.strings(pa.array([f"A{i} B{i % 7}" for i in range(300_000)]))))
+    assert len(set(keys.tolist())) == 300_000 and len(np.unique(checks)) > 299_900
+    with pytest.raises(ValueError, match="joining form"):
+        D.LocalDetector(m, max_bytes=1000)
+    assert [r["reason"] for r in D.detect(t, m.limit(0), "id").collect()] == ["no weight"] * 3
 
 
 def test_thresholds(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lingmill.functions.tokenize import tokens_exact
+from tests.exact import tokens_exact
 from lingmill.functions.urls import UrlRules
 from lingmill.plans.queries import QUERIES
 

@@ -1,5 +1,7 @@
 """Characters, URLs, tokenizers: micro cases and agreement of the JVM form with the character scan."""
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,8 +10,9 @@ from pyspark.sql import functions as F
 from lingmill.functions import chars, cyrillic
 from lingmill.functions.ngrams import ngrams, previous, segments
 from lingmill.functions.register import register
-from lingmill.functions.tokenize import normalize_term, simple_tokens, tokens, tokens_exact
-from lingmill.functions.urls import Scanner, UrlRules, mask, url_at, url_spans
+from lingmill.functions.tokenize import normalize_term, simple_tokens, tokens
+from lingmill.functions.urls import UrlRules, find_urls, mask, url_at, url_of, url_spans
+from tests.exact import tokens_exact
 
 RULES = UrlRules(frozenset("COM NET ORG RU UK CO DE MD".split()))
 
@@ -42,13 +45,11 @@ def test_native_tokens_agree_on_any_text(spark, texts):
     rules = UrlRules(frozenset({"AB", "BA"}), frozenset({"AB"}))
     got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("text", tokens(F.col("text"), rules).alias("t")).collect()
     for r in got:
-        spans = Scanner(r["text"], rules).spans()
-        glued = any(s and (r["text"][s - 1].isdigit() or r["text"][s - 1] in chars.NUMBER_SIGNS + "-.") for s, _ in spans)
-        assert glued or r["t"] == tokens_exact(r["text"], rules), r["text"]
+        assert r["t"] == tokens_exact(r["text"], rules), r["text"]
 
 
 def test_url_spans():
-    find = lambda t: [t[a:b] for a, b in Scanner(t, RULES).spans()]
+    find = lambda t: [t[a:b] for a, b in find_urls(t, RULES)]
     assert find("a.com,b.com z") == ["a.com", "a.com,b.com"]
     assert find("see http://a.b/c?d=1, x") == ["http://a.b/c?d=1"]
     assert find("(foo.co.uk) z") == ["foo.co.uk"]
@@ -59,6 +60,15 @@ def test_url_spans():
     assert mask("abcdef", [(0, 3), (1, 5)]) == f"{chars.SPLIT_MARK}f"
 
 
+def test_url_of_a_place():
+    t = "see www.x.y and a.com, http://q.de/z"
+    at = lambda i: (lambda s: s and t[s[0] : s[1]])(url_of(t, i, RULES))
+    assert at(7) == "www.x.y" and at(t.index("a.com") + 1) == "a.com" and at(t.index(":")) == at(len(t) - 1) == "http://q.de/z"
+    assert at(0) is None and at(t.index(",")) is None and url_of(t, 99, RULES) is None and url_of(t, -1, RULES) is None
+    long = "a.com," * 50_000
+    assert len(find_urls(long, RULES)) == 50_000 and find_urls(long, RULES)[-1] == (0, len(long) - 1)  # in one pass
+
+
 def test_url_columns(spark):
     df = spark.createDataFrame([("go to x.com now", 7), ("none", 1), (None, None)], "text string, p int")
     rows = df.select(url_spans(F.col("text"), RULES).alias("u"), url_spans(F.col("text"), RULES, False).alias("v"), url_at(F.col("text"), F.col("p"), RULES).alias("a")).collect()
@@ -71,7 +81,11 @@ def test_rules_from_xml(tmp_path, spark):
     p.write_text("<r><first-level-domains><_>com</_><x>Рф</x></first-level-domains><uri-schemes><_>http</_></uri-schemes></r>", encoding="utf-8")
     r = UrlRules.from_xml(str(p))
     assert r.domains == {"COM", "РФ"} and r.schemes == {"HTTP"}
-    assert {"DE", "COM", "MUSEUM", "SU"} <= UrlRules.default(spark).domains
+    own = UrlRules.default(spark)
+    # the resource's lists, by number and digest of the sorted words
+    digest = lambda words: hashlib.sha256(" ".join(sorted(words)).encode()).hexdigest()[:16]
+    assert {"DE", "COM", "MUSEUM", "SU", "NATO", "РУ"} <= own.domains and not {"AX", "BL", "ME", "RS", "TL"} & own.domains
+    assert (len(own.domains), digest(own.domains)) == (272, "b15724b3102dc537") and (len(own.schemes), digest(own.schemes)) == (51, "df25afb982a468f2")
 
 
 def test_simple_tokenizer(spark):
