@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import codecs
+import re
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, fields, replace
 
 
@@ -103,13 +105,91 @@ class TrainConfig:
         return [cls(order=n, cut=c) for n in (1, 2) for c in (1, 2)]
 
 
+def _list(value: str) -> tuple[str, ...]:
+    return tuple(x for part in value.split(";") if (x := part.strip()))
+
+
+@dataclass(frozen=True)
+class BuilderConfig:
+    """What a training run reads, makes and writes: one folder of the base folder for each group of languages."""
+
+    input_folder: str = ""
+    groups: tuple[str, ...] = ()
+    groups_without_cyrillic: tuple[str, ...] = ()
+    input_encoding: str = "utf-8"
+    output_folder: str = ""
+    output_encoding: str = "utf-8"
+    all_models: bool = False
+    train: TrainConfig = field(default_factory=TrainConfig)
+
+    def __post_init__(self):
+        for name in ("input_encoding", "output_encoding"):
+            codecs.lookup(getattr(self, name))
+
+    @classmethod
+    def from_mapping(cls, values: Mapping[str, str]) -> BuilderConfig:
+        """Orders and cuts other than 1 and 2 are corrected to 2 and 1. Sizes of portions and priorities have no meaning
+        here: Spark spills and schedules."""
+        base = from_mapping(cls, values, {"input_folder": "INPUT_BASE_FOLDER", "input_encoding": "INPUT_ENCODING", "output_folder": "OUTPUT_BASE_FOLDER", "output_encoding": "OUTPUT_ENCODING"})
+        number = lambda key, default: int(re.sub(r"^\D*", "", values.get(key, "")) or default)
+        order, cut = number("NGARMS", 2), number("CUT_THRESHOLD", 1)
+        mode = values.get("BUILD_MODE", "single_model").strip().lower()
+        if mode not in ("single_model", "all_possible_models"):
+            raise ValueError(f"BUILD_MODE: {mode!r} is unknown")
+        train = TrainConfig(order=order if order in (1, 2) else 2, cut=cut if cut in (1, 2) else 1, strict=False)
+        return replace(base, groups=_list(values.get("INPUT_FOLDERS_BY_LANGUAGE", "")), groups_without_cyrillic=_list(values.get("CLEAR_CYRILLICS_CHARS_BY_LANGUAGE", "")), all_models=mode == "all_possible_models", train=train)
+
+
+@dataclass(frozen=True)
+class ConverterConfig:
+    """What a conversion of text models to a binary one reads and writes."""
+
+    text_files: Mapping[str, str] = field(default_factory=dict)
+    output_name: str = "model"
+    part_bytes: int = 25_690_112
+    binary_folder: str = ""
+    binary_files: tuple[str, ...] = ()
+
+    @classmethod
+    def from_mapping(cls, values: Mapping[str, str], languages: Iterable[str]) -> ConverterConfig:
+        base = from_mapping(cls, values, {"output_name": "OUTPUT_FILE_NAME", "binary_folder": "BINARY_MODEL_FOLDER"})
+        size = values.get("OUTPUT_FILE_SIZE_IN_BYTES", "")
+        if size.strip().isdigit():
+            base = replace(base, part_bytes=int(size))
+        return replace(base, text_files=language_files(values, languages), binary_files=_list(values.get("BINARY_MODEL_FILE_NAMES", "")))
+
+
+@dataclass(frozen=True)
+class ServiceConfig:
+    """Limits of a service: the longest text it is meant for, and how many requests it works on at once."""
+
+    max_input_length: int = 1_000_000
+    instances: int = 4
+
+    @classmethod
+    def from_mapping(cls, values: Mapping[str, str]) -> ServiceConfig:
+        return from_mapping(cls, values, {"max_input_length": "MAX_INPUTTEXT_LENGTH", "instances": "CONCURRENT_FACTORY_INSTANCE_COUNT"})
+
+
+def language_files(values: Mapping[str, str], languages: Iterable[str]) -> dict[str, str]:
+    """The text model file of each language that has one, in the models' folder; that of Russian among many languages is
+    named by `RU-ML`."""
+    folder = values.get("LANGUAGE_MODELS_FOLDER", "").rstrip("/")
+    got = {c: (values.get("RU-ML" if c == "RU" else c) or "").strip() for c in languages}
+    return {c: f"{folder}/{f}" if folder else f for c, f in got.items() if f}
+
+
 @dataclass(frozen=True)
 class EngineConfig:
-    """Where an engine's parts come from; a model path with `{format}` text, binary or parquet."""
+    """Where an engine's parts come from: a model in a format, text, binary or parquet, at a path or in files (`text_files`
+    by language, `binary_files`), and a file of Russian n-grams."""
 
     model_path: str = ""
     model_format: str = "parquet"
     url_resources: str = ""
+    text_files: Mapping[str, str] = field(default_factory=dict)
+    binary_files: tuple[str, ...] = ()
+    russian_file: str = ""
     detector: DetectorConfig = field(default_factory=DetectorConfig)
     russian: RussianConfig = field(default_factory=RussianConfig)
 
@@ -118,8 +198,15 @@ class EngineConfig:
             raise ValueError("model_format must be text, binary or parquet")
 
     @classmethod
-    def from_mapping(cls, values: Mapping[str, str]) -> EngineConfig:
+    def from_mapping(cls, values: Mapping[str, str], languages: Iterable[str] = ()) -> EngineConfig:
+        """`languages`: the codes that may name text model files."""
         base = from_mapping(cls, values, {"model_path": "LANGUAGE_MODELS_FOLDER", "model_format": "MODEL_FORMAT", "url_resources": "URL_DETECTOR_RESOURCES_XML_FILENAME"})
+        files = language_files(values, languages)
+        if files:
+            base = replace(base, text_files=files, model_format="text")
+        if russian := values.get("RU-RU", "").strip():
+            base = replace(base, russian_file=f"{base.model_path.rstrip('/')}/{russian}" if base.model_path else russian)
         if folder := values.get("BINARY_MODEL_FOLDER"):
-            base = replace(base, model_path=folder, model_format="binary")
+            parts = tuple(f"{folder.rstrip('/')}/{f}" for f in _list(values.get("BINARY_MODEL_FILE_NAMES", "")))
+            base = replace(base, model_path=folder, model_format="binary", binary_files=parts)
         return replace(base, detector=DetectorConfig.from_mapping(values), russian=RussianConfig.from_mapping(values))

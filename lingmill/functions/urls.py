@@ -20,6 +20,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from importlib import resources
 
 import pandas as pd
 import pyarrow as pa
@@ -50,9 +51,11 @@ class UrlRules:
         return max(map(len, self.schemes), default=0)
 
     @classmethod
-    def default(cls, spark: SparkSession) -> UrlRules:
-        """The 272 domains: ISO's country codes, which the JVM knows, less those without a domain, and the others."""
-        codes = frozenset(str(c) for c in spark._jvm.java.util.Locale.getISOCountries())
+    def default(cls, spark: SparkSession | None = None) -> UrlRules:
+        """The 272 domains: ISO's country codes, which the time zone data list, less those without a domain, and the
+        others. No session is needed."""
+        listed = (resources.files("tzdata") / "zoneinfo" / "iso3166.tab").read_text("utf-8").splitlines()
+        codes = frozenset(line.split("\t")[0] for line in listed if line and not line.startswith("#"))
         return cls(codes - frozenset(CODES_WITHOUT_DOMAIN.upper().split()) | frozenset(OTHER_DOMAINS.upper().split()))
 
     @classmethod

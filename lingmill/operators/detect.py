@@ -7,8 +7,7 @@ stay below a checked size, that of 19 languages with 6.6 million n-grams include
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,7 @@ from lingmill.config import DetectorConfig
 from lingmill.functions import scan
 from lingmill.functions.urls import UrlRules
 from lingmill.operators.model import merged
-from lingmill.session import checkpoint_dir, cut_lineage
+from lingmill.session import cut_lineage, filesystem, shared_folder
 
 #: A model whose arrays take at most so many bytes in each Python worker is looked up locally, a larger one is joined.
 LOCAL_BYTES = 512 * 1024 * 1024
@@ -30,6 +29,15 @@ _ROW_BYTES = 8 + 4 + 2 + 4 + 8
 _CELLS = "array<struct<lang:string,weight_sum:double,hits:long>>"
 
 
+#: How a text's (sum of weights, hits, terms) in a language make its weight; any other rule can be given.
+Weigh = Callable[[Column, Column, Column], Column]
+
+
+def by_hits(weight_sum: Column, hits: Column, terms: Column) -> Column:
+    """Sum of weights x hits / terms."""
+    return weight_sum * hits / terms
+
+
 @dataclass
 class LocalModel:
     """Rows of a model in the order of their n-grams' keys, and where the rows of each range of keys begin."""
@@ -110,6 +118,10 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.astype(np.int64)), b.column("lang"), b.column("hits"), b.column("weight")], ["key", "check", "lang", "hits", "weight"])
 
 
+class ModelTooLarge(ValueError):
+    """A model whose arrays would take more than the bound."""
+
+
 class LocalDetector:
     """A model as files on the executors, for detection row by row.
 
@@ -120,7 +132,7 @@ class LocalDetector:
         cells = merged_model if merged_model is not None else cut_lineage(merged(model))
         rows = cells.count()
         if rows * _ROW_BYTES > max_bytes:
-            raise ValueError(f"a model of {rows} rows takes more than {max_bytes} bytes; use the joining form")
+            raise ModelTooLarge(f"a model of {rows} rows takes more than {max_bytes} bytes; use the joining form")
         spark = cells.sparkSession
         self.langs = sorted(r["lang"] for r in cells.select("lang").distinct().limit(32_768).collect())
         if len(self.langs) > 32_767:
@@ -129,12 +141,11 @@ class LocalDetector:
         self.files: tuple[str, ...] = ()
         if rows:
             number = F.element_at(F.create_map(*(x for i, c in enumerate(self.langs) for x in (F.lit(c), F.lit(i)))), F.col("lang"))
-            path = f"{checkpoint_dir(spark)}/local-model-{uuid.uuid4().hex}"
+            path = shared_folder(spark, "local-model")
             packed = cells.select("ngram", number.alias("lang"), F.col("hits").cast("int").alias("hits"), "weight").mapInArrow(_hash_rows, "key long, check long, lang int, hits int, weight double")
             packed.coalesce(max(1, rows * _ROW_BYTES // (64 * 1024 * 1024))).write.parquet(path)
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-            found = [f.getPath() for f in listed if f.getPath().getName().endswith(".parquet")]
+            fs, folder = filesystem(spark, path)
+            found = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")]
             for f in found:
                 spark.sparkContext.addFile(f.toString())
             self.files = tuple(sorted(f.getName() for f in found))
@@ -152,9 +163,9 @@ class LocalDetector:
 
         return f(tokens)
 
-    def detect(self, df: DataFrame, tokens: Column) -> DataFrame:
+    def detect(self, df: DataFrame, tokens: Column, weigh: Weigh = by_hits) -> DataFrame:
         """`df` with `reason` and `langs`; no shuffle, so also on a stream in append mode."""
-        rows = df.withColumn("_s", self.scored(tokens)).select("*", "_s.terms", "_s.detected", _weighed("_s").alias("x"))
+        rows = df.withColumn("_s", self.scored(tokens)).select("*", "_s.terms", "_s.detected", _weighed(weigh, "_s").alias("x"))
         return _decide(rows, self.config).drop("_s", "terms", "detected", "x", "total", "kept")
 
     def sql_function(self, rules: UrlRules | None):
@@ -221,10 +232,10 @@ def _scored(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str, loc
     return out.select(F.col("id").alias(id_col), "terms", F.coalesce("detected", F.lit(0).cast("long")).alias("detected"), F.coalesce("x", F.array().cast(_CELLS)).alias("x"))
 
 
-def _weighed(struct: str = "") -> Column:
-    """The (weight, lang) of each language, weight = sum of weights x hits / terms."""
+def _weighed(weigh: Weigh = by_hits, struct: str = "") -> Column:
+    """The (weight, lang) of each language."""
     at = f"{struct}." if struct else ""
-    return F.transform(F.col(f"{at}x"), lambda e: F.struct((e["weight_sum"] * e["hits"] / F.col(f"{at}terms")).alias("weight"), e["lang"].alias("lang")))
+    return F.transform(F.col(f"{at}x"), lambda e: F.struct(weigh(e["weight_sum"], e["hits"], F.col(f"{at}terms")).alias("weight"), e["lang"].alias("lang")))
 
 
 def _decide(rows: DataFrame, c: DetectorConfig) -> DataFrame:
@@ -248,11 +259,11 @@ def _decide(rows: DataFrame, c: DetectorConfig) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("langs", F.when(F.col("reason").isNull(), F.col("kept")).otherwise(empty))
 
 
-def detect(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "tokens", config: DetectorConfig | None = None, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def detect(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "tokens", config: DetectorConfig | None = None, local_bytes: int = LOCAL_BYTES, weigh: Weigh = by_hits) -> DataFrame:
     """(id, reason, langs) of texts given as token arrays: `langs` the array of (lang, weight, percent), the best first;
     empty with a `reason` otherwise: `no terms`, `few detected words`, `no weight`, `below thresholds`, `three close
-    languages`. Null token arrays have no terms."""
-    rows = _scored(docs, model, id_col, tokens_col, local_bytes).select(id_col, "terms", "detected", _weighed().alias("x"))
+    languages`. Null token arrays have no terms. `weigh` is the scoring strategy."""
+    rows = _scored(docs, model, id_col, tokens_col, local_bytes).select(id_col, "terms", "detected", _weighed(weigh).alias("x"))
     return _decide(rows, config or DetectorConfig()).select(id_col, "reason", "langs")
 
 

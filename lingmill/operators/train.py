@@ -6,25 +6,77 @@ not there is 0 (residual IDF says what an absent n-gram weighs in a column).
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingmill.config import CUTS, TrainConfig
 from lingmill.functions.cyrillic import has_cyrillic_char
-from lingmill.functions.ngrams import explode_ngrams, segments
-from lingmill.session import cut_lineage
+from lingmill.functions.ngrams import explode_ngrams, ngrams, segments
+from lingmill.session import checked_broadcast, cut_lineage
 
 KEY = ["grp", "doc"]
 
 
-def count_ngrams(docs: DataFrame, order: int, skip_cyrillic: Column | None = None, gap: str = "reset") -> DataFrame:
-    """(grp, doc, n, ngram, cnt) of rows (grp, doc, tokens). N-grams never reach over two rows. Where the boolean column
+#: Stands for a dropped word, over which no n-gram reaches.
+_GAP = "\u0002"
+
+
+def split_lines(df: DataFrame, keys: list[str], order_col: str, text_col: str = "text") -> DataFrame:
+    """(keys..., line_no, text): the lines of texts, to be tokenized line by line. `order_col` (a whole number below 2^31)
+    orders the texts of a key, which are read one after the other as one file."""
+    lines = df.select(*keys, F.col(order_col).cast("long").alias("_o"), F.posexplode(F.split(text_col, "\r\n|\r|\n")).alias("_l", "text"))
+    return lines.select(*keys, (F.shiftleft("_o", 32) + F.col("_l")).alias("line_no"), "text")
+
+
+def _last(tokens: Column, n: int) -> Column:
+    """The last `n` tokens of an array, or all."""
+    return F.slice(tokens, F.greatest(F.size(tokens) - n + 1, F.lit(1)), F.lit(n))
+
+
+def join_lines(rows: DataFrame, most: int, block: int = 10_000) -> DataFrame:
+    """`rows` (grp, doc, line_no, tokens) with a column `carry`: the last `most` tokens before each line.
+
+    Lines without a token are left out. A document's lines are looked at in blocks of `block` line numbers; of each block
+    only its last tokens meet those of the others, so no task holds a document."""
+    there = rows.filter(F.size("tokens") > 0).withColumn("_b", F.floor(F.col("line_no") / block).cast("long")).withColumn("_tail", _last(F.col("tokens"), most))
+    in_block = Window.partitionBy("grp", "doc", "_b").orderBy("line_no")
+
+    def before(tail: str, w: Window) -> Column:
+        none = F.array().cast("array<string>")
+        return _last(F.flatten(F.array(*(F.coalesce(F.lag(tail, k).over(w), none) for k in range(most, 0, -1)))), most)
+
+    near = there.withColumn("_near", before("_tail", in_block))
+    ends = near.groupBy("grp", "doc", "_b").agg(F.max_by(_last(F.concat("_near", "tokens"), most), "line_no").alias("_end"))
+    blocks = ends.withColumn("_far", before("_end", Window.partitionBy("grp", "doc").orderBy("_b"))).select("grp", "doc", "_b", "_far")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in ("grp", "doc", "_b")]
+    out = near.alias("r").join(blocks.alias("k"), same[0] & same[1] & same[2])
+    return out.select(*(F.col(f"r.{c}").alias(c) for c in rows.columns), _last(F.concat("k._far", "r._near"), most).alias("carry"))
+
+
+def count_ngrams(docs: DataFrame, order: int, skip_cyrillic: Column | None = None, gap: str = "reset", line_col: str | None = None) -> DataFrame:
+    """(grp, doc, n, ngram, cnt) of rows (grp, doc, tokens).
+
+    Without `line_col`, n-grams never reach over two rows. With it, a document's rows are the lines of one file, in that
+    (numeric) order, and n-grams reach over the ends of lines, whatever their number or length. Where the boolean column
     `skip_cyrillic` is true, words with Cyrillic letters are left out, and n-grams stop there or bridge (`gap`)."""
-    rows = docs.select("grp", "doc", "tokens", *([skip_cyrillic.alias("skip")] if skip_cyrillic is not None else []))
-    if skip_cyrillic is not None:
-        kept = segments(F.col("tokens"), lambda t: ~(F.col("skip") & has_cyrillic_char(t)), gap)
-        rows = rows.select("grp", "doc", F.explode(kept).alias("tokens"))
-    return explode_ngrams(rows, KEY, "tokens", tuple(range(1, order + 1))).groupBy("grp", "doc", "n", "ngram").agg(F.count("*").alias("cnt"))
+    rows = docs.select("grp", "doc", *([F.col(line_col).alias("line_no")] if line_col else []), "tokens", *([skip_cyrillic.alias("skip")] if skip_cyrillic is not None else []))
+    keep = (lambda t: ~(F.col("skip") & has_cyrillic_char(t))) if skip_cyrillic is not None else None
+    if line_col is None:
+        if keep is not None:
+            rows = rows.select("grp", "doc", F.explode(segments(F.col("tokens"), keep, gap)).alias("tokens"))
+        return explode_ngrams(rows, KEY, "tokens", tuple(range(1, order + 1))).groupBy("grp", "doc", "n", "ngram").agg(F.count("*").alias("cnt"))
+    if keep is not None:
+        marked = F.filter("tokens", keep) if gap == "bridge" else F.transform("tokens", lambda t: F.when(keep(t), t).otherwise(F.lit(_GAP)))
+        rows = rows.withColumn("tokens", marked)
+    lines = rows.select("grp", "doc", "line_no", "tokens")
+    lines = join_lines(lines, order - 1) if order > 1 else lines.withColumn("carry", F.array().cast("array<string>"))
+    parts = F.array(*(F.struct(F.lit(n).cast("tinyint").alias("n"), ngrams(F.concat(_last(F.col("carry"), n - 1), F.col("tokens")) if n > 1 else F.col("tokens"), n).alias("g")) for n in range(1, order + 1)))
+    grams = lines.select("grp", "doc", F.explode(parts).alias("o")).select("grp", "doc", F.col("o.n").alias("n"), F.explode("o.g").alias("ngram"))
+    if keep is not None:
+        grams = grams.filter(~F.col("ngram").contains(_GAP))
+    return grams.groupBy("grp", "doc", "n", "ngram").agg(F.count("*").alias("cnt"))
 
 
 def merge_counts(*counts: DataFrame) -> DataFrame:
@@ -40,8 +92,9 @@ def cut_counts(counts: DataFrame, cut: int) -> DataFrame:
     counts the lesser n-gram first: kept while the running sum is at most the percentage.
 
     No document's vocabulary is sorted in one task. The count at which the mass runs out is found from the histogram of
-    counts (few distinct values); n-grams above it stay, below it go. Of those that tie at it, as many stay as fit: the
-    tied ones are numbered by buckets of their first characters, whose sizes are summed first.
+    counts (few distinct values); n-grams above it stay, below it go. Of those that tie at it, as many stay as fit: they
+    are counted by their first characters, and only those that share the first 8 characters with the last one that fits
+    are numbered.
     """
     percents = CUTS[cut]
     if percents is None:
@@ -58,14 +111,21 @@ def cut_counts(counts: DataFrame, cut: int) -> DataFrame:
     full = F.min(F.when(F.col("fit") == F.col("k"), 1).otherwise(0)).over(unit.orderBy(F.desc("cnt")))
     edge = seen.withColumn("all_above", full).withColumn("before", F.coalesce(F.lag("all_above").over(unit.orderBy(F.desc("cnt"))), F.lit(1)))
     limits = edge.filter((F.col("before") == 1) & (F.col("fit") > 0)).select("grp", "doc", "n", "cnt", "k", "fit")
+    # one row for each count from the most frequent down to where the mass runs out, a few hundred a document
+    limits = checked_broadcast(cut_lineage(limits))
     kept = counts.join(limits, ["grp", "doc", "n", "cnt"])
     whole = kept.filter("fit = k").select("grp", "doc", "n", "ngram", "cnt")
-    tied = kept.filter("fit < k").withColumn("b", F.substring("ngram", 1, 3))
-    sizes = tied.groupBy("grp", "doc", "n", "b").agg(F.count("*").alias("m"))
-    offset = sizes.withColumn("first", F.coalesce(F.sum("m").over(unit.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    near = tied.join(offset, ["grp", "doc", "n", "b"]).filter("first < fit")
-    number = F.row_number().over(Window.partitionBy("grp", "doc", "n", "b").orderBy("ngram")) + F.col("first")
-    return whole.unionByName(near.withColumn("r", number).filter("r <= fit").select("grp", "doc", "n", "ngram", "cnt"))
+    # of the tied ones, buckets before the edge stay, those behind it go, and the bucket at the edge is looked at closer
+    tied = kept.filter("fit < k")
+    for size in (2, 4, 8):
+        named = tied.withColumn("b", F.substring("ngram", 1, size))
+        sizes = named.groupBy("grp", "doc", "n", "b").agg(F.count("*").alias("m"))
+        offset = sizes.withColumn("first", F.coalesce(F.sum("m").over(unit.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        near = named.join(offset, ["grp", "doc", "n", "b"]).filter("first < fit")
+        whole = whole.unionByName(near.filter("first + m <= fit").select("grp", "doc", "n", "ngram", "cnt"))
+        tied = near.filter("first + m > fit").withColumn("fit", F.col("fit") - F.col("first")).drop("b", "m", "first")
+    number = F.row_number().over(Window.partitionBy("grp", "doc", "n").orderBy("ngram"))
+    return whole.unionByName(tied.withColumn("r", number).filter("r <= fit").select("grp", "doc", "n", "ngram", "cnt"))
 
 
 def group_sizes(counts: DataFrame) -> DataFrame:
@@ -117,22 +177,33 @@ def residual_idf(counts: DataFrame) -> DataFrame:
     return counts.select("grp", "doc", "ngram").join(stats, ["grp", "ngram"]).select("grp", "doc", "ngram", "weight", "absent")
 
 
-def train(docs: DataFrame, config: TrainConfig | None = None, skip_cyrillic: Column | None = None) -> DataFrame:
-    """(grp, doc, ngram, weight) of rows (grp, doc, tokens), all groups in one job. The counts, which the cut and the
-    weights read several times, are written to the shared checkpoint folder once."""
+def train(docs: DataFrame, config: TrainConfig | None = None, skip_cyrillic: Column | None = None, line_col: str | None = None) -> DataFrame:
+    """(grp, doc, ngram, weight) of rows (grp, doc, tokens), all groups in one job; with `line_col` the rows are lines of
+    files. The counts, which the cut and the weights read several times, are written to the shared checkpoint folder once,
+    by jobs that run as soon as the plan is made."""
     c = config or TrainConfig()
-    counts = cut_lineage(count_ngrams(docs, c.order, skip_cyrillic if skip_cyrillic is not None else F.lit(True) if c.skip_cyrillic else None, c.gap))
+    counts = cut_lineage(count_ngrams(docs, c.order, skip_cyrillic if skip_cyrillic is not None else F.lit(True) if c.skip_cyrillic else None, c.gap, line_col))
     counts = cut_lineage(cut_counts(counts, c.cut))
     weighed = {"tfidf": tfidf, "bm25": bm25, "residual_idf": residual_idf}[c.weighting](counts)
     return weighed.select("grp", "doc", "ngram", "weight").filter("weight <> 0")
 
 
-def train_all(docs: DataFrame, configs: list[TrainConfig] | None = None) -> DataFrame:
-    """Models of several settings, marked by `order` and `cut`."""
-    out = None
+def train_all(docs: DataFrame, configs: list[TrainConfig] | None = None, errors: dict[tuple[int, int], Exception] | None = None) -> DataFrame:
+    """Models of several settings, marked by `order` and `cut`. A setting that fails does not stop the others: its error is
+    put into `errors` by (order, cut), and warned of; if all fail, the last error is raised."""
+    out, last = None, None
     for c in configs or TrainConfig.all_models():
-        m = train(docs, c).withColumns({"order": F.lit(c.order), "cut": F.lit(c.cut)})
+        try:
+            m = cut_lineage(train(docs, c)).withColumns({"order": F.lit(c.order), "cut": F.lit(c.cut)})
+        except Exception as e:  # noqa: BLE001
+            last = e
+            warnings.warn(f"order {c.order}, cut {c.cut}: {e}", stacklevel=2)
+            if errors is not None:
+                errors[c.order, c.cut] = e
+            continue
         out = m if out is None else out.unionByName(m)
+    if out is None:
+        raise last or ValueError("no settings")
     return out
 
 

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries, over the same tables."""
 
+from lingmill.functions.urls import SCHEMES, UrlRules
+
 _P3 = r"""
 numbered AS (
   SELECT *, CASE WHEN line_no = 1 AND starts_with(line_text, chr(65279)) THEN substr(line_text, 2) ELSE line_text END AS line FROM model_lines
@@ -21,7 +23,7 @@ judged AS (
 _W = r"\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SYMBOLS = "¥©¤¦§®¶€™<>"
 _IN_WORD = "&\u0027-._\u00ad\u055a\u055b\u055d\u2012\u2013\u2014\u2015\u2018\u2019\u201b"
-_KEPT = "ßŉǰΐΰΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆıſ".replace("ΰΰ", "ΰ")
+_KEPT = "ßŉǰΐΰևẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆıſ"
 _S, _M = "\ue001", "\ue002"
 
 
@@ -38,13 +40,32 @@ def _upper(x: str) -> str:
     return f"translate(translate(upper(translate({x}, '{_KEPT}', '{hold}')), '{hold}', '{_KEPT}'), 'Ё', 'Е')"
 
 
-def _words(name: str, source: str, keep: str) -> str:
-    """CTEs that give `name`(keep..., tokens) of the texts of a table: steps of the main tokenizer without URLs. RE2 has
-    no class intersection, so punctuation that may stand in words hides behind private characters meanwhile."""
+# URLs by RE2, which has neither look-around nor class intersection: a character that breaks none off; one that may end a
+# URL; what follows a sign.
+_IN_URL = f"(?:[\\x01-\\x08\\x0E-\\x1F!-\\x7F]|[^\\x00-\\x7F\\p{{P}}{_W}])"
+_URL_EDGE = f"(?:/|[^\\p{{P}}{_W}])"
+_RIGHT = f"(?:{_IN_URL}*{_URL_EDGE})?"
+_DOMAIN = f"\\.(?:{'|'.join(sorted(UrlRules.default().domains))})"
+_BY_SCHEME = f"(?i)(^|[^A-Za-z-])(?:{'|'.join(x for x in SCHEMES.split() if x.replace('-', '').isalpha())}):{_RIGHT}"
+_BY_DOT = f"(?i)www\\.{_RIGHT}|{_URL_EDGE}{_IN_URL}*?{_DOMAIN}(?:{_DOMAIN})*(?:[/\\\\]{_IN_URL}*{_URL_EDGE}|/|([^\\p{{L}}/])|$)"
+
+
+#: Stands for a dot that the dot before it hides.
+_HIDDEN_DOT = ""
+
+
+def _masked(text: str, mark: str = _S) -> str:
+    by_scheme = f"regexp_replace({text}, '{_q(_BY_SCHEME)}', '\\1{mark}', 'g')"
+    return f"replace(regexp_replace(replace({by_scheme}, '..', '.{_HIDDEN_DOT}'), '{_q(_BY_DOT)}', '{mark}\\1', 'g'), '{_HIDDEN_DOT}', '.')"
+
+
+def _words(name: str, source: str, keep: str, urls: bool = True) -> str:
+    """CTEs that give `name`(keep..., tokens) of the texts of a table: steps of the main tokenizer. RE2 has no class
+    intersection, so punctuation that may stand in words hides behind private characters meanwhile."""
     hide = _private(_IN_WORD, 0xE200)
     number = f"[\\p{{Nd}}.\\-–´°]+{_M}"
     return f"""
-{name}_a AS (SELECT {keep}, translate(text, '{_q(_IN_WORD)}', '{hide}') AS t FROM {source} WHERE text IS NOT NULL),
+{name}_a AS (SELECT {keep}, translate({_masked('text') if urls else 'text'}, '{_q(_IN_WORD)}', '{hide}') AS t FROM {source} WHERE text IS NOT NULL),
 {name}_b AS (SELECT {keep}, translate(replace(regexp_replace(t, '[\\p{{P}}{_SYMBOLS}][\\p{{P}}{hide}{_W}]*', '{_S}', 'g'), ' ', '{_M} '), '{hide}', '{_q(_IN_WORD)}') AS t FROM {name}_a),
 {name}_c AS (SELECT {keep}, list_transform(list_filter(string_split_regex(t, '[{_W}{_S}]+'), lambda r: NOT regexp_full_match(r, '{number}')), lambda r: replace(r, '{_M}', '')) AS runs FROM {name}_b),
 {name}_d AS (SELECT {keep}, list_filter(list_transform(runs, lambda r: {{'r': r, 'w': regexp_replace(r, '^[^\\p{{L}}\\p{{Nd}}]+|[^\\p{{L}}\\p{{Nd}}]+$', '', 'g')}}), lambda p: length(p.w) > 1 OR (p.w = p.r AND p.w <> '')) AS pairs FROM {name}_c),
@@ -56,8 +77,9 @@ def _grams(tokens: str, n: int) -> str:
     return f"list_transform(range(1, len({tokens}) - {n - 2}), lambda i: {parts})"
 
 
-_STOK = _words("stok", "lang_samples", "sample_id, language")
+_STOK = _words("stok", "lang_samples", "sample_id, language", urls=False)
 _RTOK = _words("rtok", "requests", "req_id")
+_DTOK = _words("dtok", "documents", "doc_id")
 
 
 def _gram_counts(n: int) -> str:
@@ -65,7 +87,8 @@ def _gram_counts(n: int) -> str:
 
 
 def _trained(source: str, order: int = 2, cut: str = "CASE n WHEN 1 THEN 95 ELSE 50 END", name: str = "model") -> str:
-    """CTEs that give `name`(ngram, lang, weight) trained on rows (doc, tokens)."""
+    """CTEs that give `name`(ngram, lang, weight) trained on rows (doc, tokens). The size of a document counts n-grams that
+    weigh nothing, too."""
     grams = " UNION ALL ".join(f"SELECT doc, {n} AS n, unnest({_grams('tokens', n)}) AS ngram FROM ({source})" for n in range(1, order + 1))
     return f"""
 {name}_c AS (SELECT doc, n, ngram, count(*) AS cnt FROM ({grams}) GROUP BY ALL),
@@ -74,16 +97,16 @@ def _trained(source: str, order: int = 2, cut: str = "CASE n WHEN 1 THEN 95 ELSE
     SELECT *, sum(cnt) OVER (PARTITION BY doc, n ORDER BY cnt DESC, ngram ROWS UNBOUNDED PRECEDING) AS run, sum(cnt) OVER (PARTITION BY doc, n) AS tot FROM {name}_c
   ) WHERE run * 100 <= ({cut}) * tot
 ),
+{name}_s AS (SELECT doc, count(*) AS size FROM {name}_k GROUP BY doc),
+{name}_f AS (SELECT ngram, count(*) AS df FROM {name}_k GROUP BY ngram),
 {name} AS (
-  SELECT ngram, doc AS lang, -(cnt / count(*) OVER (PARTITION BY doc)) * ln(df / nd) AS weight
-  FROM {name}_k JOIN (SELECT ngram, count(*) AS df FROM {name}_k GROUP BY ngram) USING (ngram), (SELECT count(DISTINCT doc) AS nd FROM {name}_k)
-  WHERE df <> nd QUALIFY true
+  SELECT ngram, doc AS lang, -(cnt / size) * ln(df / nd) AS weight
+  FROM {name}_k JOIN {name}_f USING (ngram) JOIN {name}_s USING (doc), (SELECT count(*) AS nd FROM {name}_s)
+  WHERE df <> nd
 )"""
 
 
-_MODEL = _trained("SELECT language AS doc, tokens FROM stok WHERE language IS NOT NULL").replace(" QUALIFY true", "")
-# the window must see n-grams that weigh nothing, too
-_MODEL = _MODEL.replace("SELECT ngram, doc AS lang, -(cnt / count(*) OVER (PARTITION BY doc)) * ln(df / nd) AS weight\n  FROM", "SELECT ngram, lang, weight FROM (SELECT ngram, doc AS lang, df, nd, -(cnt / count(*) OVER (PARTITION BY doc)) * ln(df / nd) AS weight\n  FROM").replace("\n  WHERE df <> nd\n", ") WHERE df <> nd\n")
+_MODEL = _trained("SELECT language AS doc, tokens FROM stok WHERE language IS NOT NULL")
 
 
 def _detection(tokens: str = "rtok", key: str = "req_id", model: str = "model", words: int = 9, percent: int = 10) -> str:
@@ -120,6 +143,16 @@ _DETECT = f"{_STOK}, {_MODEL}, {_RTOK}, {_detection()}"
 #: requests without a text have no terms
 _NO_TEXT = "SELECT req_id FROM requests WHERE text IS NULL"
 
+_DOC_DETECT = f"{_STOK}, {_MODEL}, {_DTOK}, {_detection('dtok', 'doc_id')}"
+#: What stands between the URLs of each request, and where the first and a second one begin and end. (No request has more.)
+_SPANS = f"""
+masked AS (SELECT req_id, text, string_split({_masked('text')}, '{_S}') AS p FROM requests WHERE text IS NOT NULL),
+firsts AS (
+  SELECT req_id, text, p, length(p[1]) AS a, CASE WHEN len(p) = 2 THEN length(text) - length(p[2]) ELSE length(p[1]) + strpos(substr(text, length(p[1]) + 1), p[2]) - 1 END AS b
+  FROM masked WHERE len(p) > 1
+),
+spans AS (SELECT req_id, text, a, b FROM firsts UNION ALL SELECT req_id, text, b + length(p[2]), length(text) - length(p[3]) FROM firsts WHERE len(p) = 3)"""
+
 _COUNTS = f"""
 counts AS (
   SELECT grp, doc, n, value AS ngram, CAST(sum(count) AS BIGINT) AS cnt FROM word_t
@@ -151,6 +184,9 @@ _BOTH = f"{_pairs('a', 'v1')}, {_pairs('b', 'v2')}"
 ORACLE = {
     "tokens_samples": f"WITH {_STOK} SELECT sample_id, len(tokens) AS n_tokens, array_to_string(tokens, '|') AS words FROM stok",
     "tokens_requests": f"WITH {_RTOK} SELECT req_id, len(tokens) AS n_tokens, array_to_string(tokens, '|') AS words FROM rtok",
+    "tokens_per_doc": f"WITH {_DTOK} SELECT doc_id, len(tokens) AS n_tokens FROM dtok UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL",
+    "url_spans_requests": f'WITH {_SPANS} SELECT req_id, CAST(a AS INTEGER) AS start, CAST(b - a AS INTEGER) AS length, substr(text, a + 1, b - a) AS "value" FROM spans',
+    "url_mask_counts": f"SELECT source, CAST(sum(length(text) - length(replace({_masked('text')}, '{_S}', ''))) AS BIGINT) AS url_chars FROM documents GROUP BY source",
     "simple_tokenizer": f"""WITH terms AS (SELECT sample_id, list_filter(string_split_regex(regexp_replace(text, '[\\x00-\\x1E]', ' ', 'g'), '[{_W}]+'), lambda x: x <> '') AS t FROM lang_samples),
 cut AS (SELECT sample_id, list_transform(t, lambda x: {{'r': x, 'w': regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')}}) AS t FROM terms),
 norm AS (SELECT sample_id, list_transform(t, lambda p: CASE WHEN p.w = p.r OR length(p.w) > 1 THEN {_upper('p.w')} END) AS t FROM cut)
@@ -195,9 +231,36 @@ FROM x FULL JOIN y ON x.ngram = y.ngram WHERE x IS DISTINCT FROM y""",
     "detect_long": f"WITH {_DETECT} SELECT req_id, rank, lang, round(w, 6) AS weight, percent FROM kept JOIN decided USING (req_id) WHERE reason IS NULL",
     "detect_top": f"WITH {_DETECT} SELECT * FROM best UNION ALL SELECT req_id, NULL, NULL FROM ({_NO_TEXT})",
     "detect_local": f"WITH {_DETECT} SELECT * FROM best UNION ALL SELECT req_id, NULL, NULL FROM ({_NO_TEXT})",
+    "detect_documents": f"WITH {_DOC_DETECT} SELECT * FROM best UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL",
+    "detect_engine": f"WITH {_DETECT} SELECT * FROM best UNION ALL SELECT req_id, NULL, NULL FROM ({_NO_TEXT})",
+    "detect_joined": f"WITH {_DETECT} SELECT * FROM best UNION ALL SELECT req_id, NULL, NULL FROM ({_NO_TEXT})",
+    "detect_json": f"""WITH {_DETECT}, langs AS (
+  SELECT req_id, string_agg('{{"l":"' || lang || '","n":"' || name || '","p":' || percent || '}}', ',' ORDER BY rank) AS j, string_agg(lang || ', ' || percent || ' %', chr(10) ORDER BY rank) AS s
+  FROM kept JOIN decided USING (req_id) JOIN languages ON code = lang WHERE reason IS NULL GROUP BY req_id
+)
+SELECT req_id, CASE WHEN r.text IS NULL THEN '{{"err":"no text"}}' ELSE '{{"langs":[' || coalesce(j, '') || ']}}' END AS answer, coalesce(s, '[text language is not defined]') AS shown FROM requests r LEFT JOIN langs USING (req_id)""",
+    "skip_cyrillic_counts": f"""WITH {_RTOK}, kept AS (SELECT list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[А-яЁё]') THEN NULL ELSE t END) AS tokens FROM rtok)
+SELECT ngram, count(*) AS cnt FROM (SELECT unnest({_grams('tokens', 2)}) AS ngram FROM kept) WHERE ngram IS NOT NULL GROUP BY ngram""",
+    "accuracy_by_language": f"""WITH {_STOK}, {_trained("SELECT language AS doc, tokens FROM stok WHERE language IS NOT NULL AND sample_id % 5 <> 0")}, held AS (SELECT sample_id, language, tokens FROM stok WHERE sample_id % 5 = 0), {_detection('held', 'sample_id')}
+SELECT language, count(*) AS n, CAST(sum(CASE WHEN lang = language THEN 1 ELSE 0 END) AS BIGINT) AS n_right FROM best JOIN held USING (sample_id) GROUP BY language""",
+    "all_models_sizes": "UNION ALL".join(
+        f"""(WITH {_STOK}, {_trained("SELECT language AS doc, tokens FROM stok WHERE language IS NOT NULL", n, "CASE n WHEN 1 THEN 95 ELSE 50 END" if k == 1 else "CASE n WHEN 1 THEN 50 ELSE 15 END")}
+SELECT {n} AS "order", {k} AS cut, lang AS doc, count(*) AS n FROM model GROUP BY lang)"""
+        for n in (1, 2)
+        for k in (1, 2)
+    ),
+    "model_binary_roundtrip": "SELECT '' AS ngram, '' AS only_in, 0 AS pairs WHERE false",
+    "model_text_roundtrip": "SELECT '' AS ngram, '' AS only_in, 0 AS pairs WHERE false",
+    "line_counts": f"WITH {_STOK}, files AS (SELECT language, flatten(list(tokens ORDER BY sample_id)) AS tokens FROM stok WHERE language IS NOT NULL GROUP BY language) {' UNION ALL '.join(f'SELECT language, {n} AS n, ngram, count(*) AS cnt FROM (SELECT language, unnest({_grams(chr(116) + "okens", n)}) AS ngram FROM files) GROUP BY ALL' for n in (1, 2, 3, 4))}",
+    "document_line_counts": f"""WITH lines AS (SELECT lang, doc_id, unnest(string_split_regex(text, '\r?\n')) AS text, unnest(range(len(string_split_regex(text, '\r?\n')))) AS pos FROM documents WHERE text IS NOT NULL), {_words("ltok", "lines", "lang, doc_id, pos")},
+files AS (SELECT lang, flatten(list(tokens ORDER BY doc_id, pos)) AS tokens FROM ltok GROUP BY lang)
+SELECT lang, n, count(*) AS n_ngrams, CAST(sum(cnt) AS BIGINT) AS total, max(cnt) AS most FROM (
+  SELECT lang, 1 AS n, ngram, count(*) AS cnt FROM (SELECT lang, unnest(tokens) AS ngram FROM files) GROUP BY ALL
+  UNION ALL SELECT lang, 2, ngram, count(*) FROM (SELECT lang, unnest({_grams('tokens', 2)}) AS ngram FROM files) GROUP BY ALL) GROUP BY ALL""",
+    "lines_model": f"""WITH {_STOK}, files AS (SELECT language AS doc, flatten(list(tokens ORDER BY sample_id)) AS tokens FROM stok WHERE language IS NOT NULL GROUP BY language), {_trained("SELECT doc, tokens FROM files")} SELECT ngram, lang, round(weight, 6) AS weight FROM model""",
     "detect_shipped": f"WITH {_STOK}, {_MODEL}, {_RTOK}, {_detection(words=5, percent=20)} SELECT * FROM best UNION ALL SELECT req_id, NULL, NULL FROM ({_NO_TEXT})",
     "detect_unknown_reason": f"WITH {_DETECT} SELECT reason, count(*) AS n FROM (SELECT req_id, reason FROM decided UNION ALL SELECT req_id, 'no terms' FROM ({_NO_TEXT})) GROUP BY reason",
-    "confusion_matrix": f"""WITH {_DETECT}, answers AS (SELECT req_id, arg_max(l, (logged_at, resp_id)) FILTER (l IS NOT NULL OR true) AS label FROM responses WHERE rank_no = 1 GROUP BY req_id)
+    "confusion_matrix": f"""WITH {_DETECT}, answers AS (SELECT req_id, arg_max(l, (logged_at, resp_id)) AS label FROM responses WHERE rank_no = 1 GROUP BY req_id)
 SELECT label, lang, count(*) AS n FROM (SELECT req_id, lang FROM best UNION ALL SELECT req_id, NULL FROM ({_NO_TEXT})) LEFT JOIN answers USING (req_id) GROUP BY ALL""",
     "cyrillic_gate": f"""SELECT req_id, floor(20 * letters / 100.0) <= cyr AS gate, CASE WHEN letters > 0 THEN CAST(floor(cyr * 100.0 / letters) AS INTEGER) END AS percent, regexp_matches(text, '[А-яЁё]') AS any_cyrillic
 FROM (SELECT *, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^А-я]', '', 'g')) AS cyr FROM requests WHERE text IS NOT NULL AND regexp_replace(text, '[{_W}]+', '', 'g') <> '')""",
@@ -211,5 +274,7 @@ weighed AS (
   FROM requests r LEFT JOIN gate g ON r.req_id = g.req_id LEFT JOIN rtok t ON r.req_id = t.req_id LEFT JOIN hit h ON r.req_id = h.req_id
 )
 SELECT req_id, gate, round(w, 6) AS weight, w >= 0.5 AND w <> 0 AS is_russian FROM weighed""",
+    "p3_loaded": f"""WITH {_P3} SELECT line_id, CASE WHEN plain_ok THEN trim(regexp_extract(body, '^([^\t]*)\t', 1), ' ') ELSE replace(regexp_extract(body, '^ *"((?:[^"]|"")*)" *\t', 1), '""', '"') END AS text,
+CAST(CAST(trim(regexp_extract(body, '\t([^\t]*)$', 1), ' ') AS DOUBLE) AS FLOAT) AS weight FROM judged WHERE NOT is_header AND coalesce((quoted_ok OR plain_ok) AND finite, false)""",
     "p3_found": f"WITH {_P3} SELECT line_id FROM judged WHERE NOT is_header AND NOT coalesce((quoted_ok OR plain_ok) AND finite, false)",
 }

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingmill.config import DetectorConfig, TrainConfig
+from lingmill.config import DetectorConfig, EngineConfig
 from lingmill.functions import chars, cyrillic
 from lingmill.functions import urls as U
 from lingmill.functions.ngrams import explode_ngrams, previous
@@ -18,16 +15,12 @@ from lingmill.operators import detect as D
 from lingmill.operators import model as M
 from lingmill.operators import russian as R
 from lingmill.operators import train as T
-from lingmill.session import checkpoint_dir, cut_lineage, spread, table
+from lingmill.plans.engine import Engine
+from lingmill.session import cut_lineage, shared_folder, spread, table
 from lingmill.sources import model_files, model_text
 from lingmill.streaming.detect import detect_stream
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{urlparse(checkpoint_dir(spark)).path}/{name}-{uuid.uuid4().hex}"
-
-
 def _round(col: str, digits: int = 6):
     return F.round(F.col(col), digits).alias(col)
 
@@ -45,20 +38,9 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(T.train(_training(spark, d)).select("ngram", F.col("doc").alias("lang"), "weight"))
 
 
-def _requests(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    """Requests with tokens; without `rules`, links are split like other text."""
-    return spread(table(spark, d, "requests").select("req_id", "text")).withColumn("tokens", tokens(F.col("text"), rules))
-
-
-def _with_urls(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of requests by the whole main tokenizer, URLs being no words. The SQL can't find URLs, so it can only
-    check the query without them."""
-
-    def whole(spark: SparkSession, d: str) -> DataFrame:
-        return query(spark, d, U.UrlRules.default(spark))
-
-    whole.__name__, whole.__doc__ = f"{query.__name__}_urls", query.__doc__
-    return whole
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests with tokens; URLs are no words."""
+    return spread(table(spark, d, "requests").select("req_id", "text")).withColumn("tokens", tokens(F.col("text"), U.UrlRules.default()))
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
@@ -85,12 +67,12 @@ def tokens_samples(spark: SparkSession, d: str) -> DataFrame:
     return _samples(spark, d).select("sample_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("words"))
 
 
-def tokens_requests(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    return _requests(spark, d, rules).filter("text is not null").select("req_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("words"))
+def tokens_requests(spark: SparkSession, d: str) -> DataFrame:
+    return _requests(spark, d).filter("text is not null").select("req_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("words"))
 
 
 def tokens_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    rules = U.UrlRules.default(spark)
+    rules = U.UrlRules.default()
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(tokens(F.col("text"), rules)).alias("n_tokens"))
 
 
@@ -100,13 +82,13 @@ def simple_tokenizer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_spans_requests(spark: SparkSession, d: str) -> DataFrame:
-    rules = U.UrlRules.default(spark)
+    rules = U.UrlRules.default()
     spans = spread(table(spark, d, "requests").select("req_id", "text")).select("req_id", F.explode(U.url_spans(F.col("text"), rules)).alias("u"))
     return spans.select("req_id", "u.start", "u.length", "u.value")
 
 
 def url_mask_counts(spark: SparkSession, d: str) -> DataFrame:
-    rules = U.UrlRules.default(spark)
+    rules = U.UrlRules.default()
     masked = U.url_mask(F.col("text"), rules)
     rows = spread(table(spark, d, "documents").select("source", "text")).select("source", (F.length("text") - F.length(F.replace(masked, F.lit(chars.SPLIT_MARK), F.lit("")))).alias("hidden"))
     return rows.groupBy("source").agg(F.sum("hidden").alias("url_chars"))
@@ -213,12 +195,37 @@ def all_models_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def skip_cyrillic_counts(spark: SparkSession, d: str) -> DataFrame:
     """2-grams of requests without Cyrillic words, over which no n-gram reaches."""
-    docs = _requests(spark, d, U.UrlRules.default(spark)).select(F.lit("requests").alias("grp"), F.lit("all").alias("doc"), "tokens")
+    docs = _requests(spark, d).select(F.lit("requests").alias("grp"), F.lit("all").alias("doc"), "tokens")
     return T.count_ngrams(docs, 2, F.lit(True), "reset").filter("n = 2").select("ngram", "cnt")
 
 
-def empty_documents(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    return T.empty_documents(_requests(spark, d, rules).select(F.lit("requests").alias("grp"), F.col("req_id").alias("doc"), "tokens")).select(F.col("doc").alias("req_id"))
+def _sample_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The samples as the lines of one file for each language."""
+    return _samples(spark, d).filter("language is not null").select(F.lit("all").alias("grp"), F.col("language").alias("doc"), F.col("sample_id").alias("line_no"), "tokens")
+
+
+def line_counts(spark: SparkSession, d: str) -> DataFrame:
+    """1- to 4-grams of files of lines; n-grams reach over the ends of lines."""
+    counts = T.count_ngrams(_sample_lines(spark, d), 4, line_col="line_no")
+    return counts.select(F.col("doc").alias("language"), F.col("n").cast("int").alias("n"), "ngram", "cnt")
+
+
+def lines_model(spark: SparkSession, d: str) -> DataFrame:
+    """A model trained on files of lines."""
+    return T.train(_sample_lines(spark, d), line_col="line_no").select("ngram", F.col("doc").alias("lang"), _round("weight"))
+
+
+def document_line_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Different and all 1- and 2-grams of the documents' lines, tokenized line by line, by the documents' label; the
+    documents of a label are read as one file."""
+    docs = spread(table(spark, d, "documents").select("lang", "doc_id", "text").filter("text is not null"))
+    lines = T.split_lines(docs, ["lang"], "doc_id", "text").select(F.lit("all").alias("grp"), F.col("lang").alias("doc"), "line_no", tokens(F.col("text"), U.UrlRules.default()).alias("tokens"))
+    counts = T.count_ngrams(lines, 2, line_col="line_no")
+    return counts.groupBy(F.col("doc").alias("lang"), F.col("n").cast("int").alias("n")).agg(F.count("*").alias("n_ngrams"), F.sum("cnt").alias("total"), F.max("cnt").alias("most"))
+
+
+def empty_documents(spark: SparkSession, d: str) -> DataFrame:
+    return T.empty_documents(_requests(spark, d).select(F.lit("requests").alias("grp"), F.col("req_id").alias("doc"), "tokens")).select(F.col("doc").alias("req_id"))
 
 
 # models
@@ -263,66 +270,81 @@ def model_binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Differences between a model and the one read back from its binary files: none."""
     ids = {r["code"]: r["lang_id"] for r in table(spark, d, "languages").limit(256).collect()}
     model = _pairs(spark, d).withColumn("weight", F.col("weight").cast("float").cast("double"))
-    path = _shared(spark, "binary-model")
+    path = shared_folder(spark, "binary-model")
     model_files.write_binary_model(model, ids, path)
     return M.compare(model, model_files.read_binary_model(spark, path, ids))
 
 
 def model_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """N-grams and float weights of a trained model that its text files don't give back: none."""
+    """Differences between a trained model, with float weights, and the one read back from its text files: none."""
     model = T.train(_training(spark, d))
-    path = _shared(spark, "text-model")
-    model_files.write_text_model(model.withColumn("doc", F.concat("doc", F.lit(".txt"))), path)
-    lines = spark.read.text(f"{path}/rows").select("file", "value")
-    parts = F.split("value", "\t")
-    back = lines.select(F.regexp_extract("file", "^(..)-", 1).alias("doc"), parts[0].alias("ngram"), parts[1].cast("float").alias("weight"))
-    return model.select("doc", "ngram", F.col("weight").cast("float").alias("weight")).exceptAll(back)
+    path = shared_folder(spark, "text-model")
+    files = model_files.write_text_model(model.withColumn("doc", F.concat("doc", F.lit(".txt"))), path)
+    by_lang: dict[str, list[str]] = {}
+    for f in files:
+        by_lang.setdefault(f.rsplit("/", 1)[1][:2], []).append(f)
+    back = model_files.read_text_model(spark, by_lang)
+    return M.compare(model.select("ngram", F.col("doc").alias("lang"), F.col("weight").cast("float").cast("double").alias("weight")), back)
 
 
 # detection
 
 
-def lang_scores(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    return D.scores(_requests(spark, d, rules), _model(spark, d), "req_id").select("req_id", "terms", "detected", "lang", _round("weight_sum"), "hits")
+def lang_scores(spark: SparkSession, d: str) -> DataFrame:
+    return D.scores(_requests(spark, d), _model(spark, d), "req_id").select("req_id", "terms", "detected", "lang", _round("weight_sum"), "hits")
 
 
-def detect_long(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    return D.long_form(D.detect(_requests(spark, d, rules), _model(spark, d), "req_id"), "req_id").select("req_id", "rank", "lang", _round("weight"), "percent")
+def detect_long(spark: SparkSession, d: str) -> DataFrame:
+    return D.long_form(D.detect(_requests(spark, d), _model(spark, d), "req_id"), "req_id").select("req_id", "rank", "lang", _round("weight"), "percent")
 
 
-def detect_top(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    return D.top(D.detect(_requests(spark, d, rules), _model(spark, d), "req_id"), "req_id")
+def detect_top(spark: SparkSession, d: str) -> DataFrame:
+    return D.top(D.detect(_requests(spark, d), _model(spark, d), "req_id"), "req_id")
 
 
-def detect_shipped(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    return D.top(D.detect(_requests(spark, d, rules), _model(spark, d), "req_id", config=DetectorConfig.shipped()), "req_id")
+def detect_shipped(spark: SparkSession, d: str) -> DataFrame:
+    return D.top(D.detect(_requests(spark, d), _model(spark, d), "req_id", config=DetectorConfig.shipped()), "req_id")
 
 
-def detect_unknown_reason(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
-    return D.detect(_requests(spark, d, rules), _model(spark, d), "req_id").groupBy("reason").agg(F.count("*").alias("n"))
+def detect_unknown_reason(spark: SparkSession, d: str) -> DataFrame:
+    return D.detect(_requests(spark, d), _model(spark, d), "req_id").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def detect_documents(spark: SparkSession, d: str) -> DataFrame:
-    rules = U.UrlRules.default(spark)
+    rules = U.UrlRules.default()
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("tokens", tokens(F.col("text"), rules))
     return D.top(D.detect(docs, _model(spark, d), "doc_id"), "doc_id")
 
 
-def detect_local(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+def detect_local(spark: SparkSession, d: str) -> DataFrame:
     """Row-local detection of requests, as on a stream."""
     local = D.LocalDetector(_model(spark, d))
-    return D.top(detect_stream(spread(table(spark, d, "requests").select("req_id", "text")), local, rules), "req_id")
+    return D.top(detect_stream(spread(table(spark, d, "requests").select("req_id", "text")), local, U.UrlRules.default()), "req_id")
+
+
+def detect_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Detection by joins, the form for models too large to be looked up."""
+    return D.top(D.detect(_requests(spark, d), _model(spark, d), "req_id", local_bytes=0), "req_id")
+
+
+def detect_engine(spark: SparkSession, d: str) -> DataFrame:
+    """Detection through an engine made from settings and a saved model."""
+    path = shared_folder(spark, "engine-model")
+    model_files.save_model(_model(spark, d), path)
+    engine = Engine.create(spark, EngineConfig(model_path=path))
+    return D.top(engine.detect(spread(table(spark, d, "requests").select("req_id", "text")), "req_id"), "req_id")
 
 
 def detect_json(spark: SparkSession, d: str) -> DataFrame:
     names = {r["code"]: r["name"] for r in table(spark, d, "languages").limit(256).collect()}
-    got = D.detect(_requests(spark, d, U.UrlRules.default(spark)), _model(spark, d), "req_id")
-    return got.select("req_id", D.as_json(F.col("langs"), names).alias("answer"), D.as_text(F.col("langs")).alias("shown"))
+    docs = _requests(spark, d)
+    got = D.detect(docs, _model(spark, d), "req_id").join(docs.select("req_id", F.when(F.col("text").isNull(), "no text").alias("error")), "req_id")
+    return got.select("req_id", D.as_json(F.col("langs"), names, F.col("error")).alias("answer"), D.as_text(F.col("langs")).alias("shown"))
 
 
-def confusion_matrix(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Best language by the label of the service's first answer."""
-    best = detect_top(spark, d, rules)
+    best = detect_top(spark, d)
     answers = table(spark, d, "responses").filter("rank_no = 1").groupBy("req_id").agg(F.max_by("l", F.struct("logged_at", "resp_id")).alias("label"))
     return best.join(answers, "req_id", "left").groupBy("label", "lang").agg(F.count("*").alias("n"))
 
@@ -341,9 +363,9 @@ def cyrillic_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "requests").filter(~chars.is_blank(t)).select("req_id", cyrillic.has_cyrillic_letters(t, 20).alias("gate"), cyrillic.cyrillic_percent(t).alias("percent"), cyrillic.has_cyrillic_char(t).alias("any_cyrillic"))
 
 
-def ru_score(spark: SparkSession, d: str, rules: U.UrlRules | None = None) -> DataFrame:
+def ru_score(spark: SparkSession, d: str) -> DataFrame:
     words = R.russian_vocabulary(_model(spark, d).filter("lang = 'RU'"))
-    got = R.detect_ru(_requests(spark, d, rules), words, "req_id")
+    got = R.detect_ru(_requests(spark, d), words, "req_id")
     return got.select("req_id", "gate", _round("weight"), "is_russian")
 
 
@@ -352,9 +374,8 @@ QUERIES = {
     for f in (
         p3_found, p3_loaded, tokens_samples, tokens_requests, tokens_per_doc, simple_tokenizer, url_spans_requests, url_mask_counts, character_counts, display_texts, upper_words,
         term_counts, bigram_counts, ngram3_counts, ngram4_counts, merged_counts, cut1_counts, cut2_counts, document_frequency, tf, tfidf, tfidf_one_dimension, bm25, residual_idf,
-        average_length, most_frequent_terms, previous_terms, trained_model, all_models_sizes, skip_cyrillic_counts, empty_documents, model_record_count, model_nested, model_merged, model_compare, vocab_intersect,
+        average_length, most_frequent_terms, previous_terms, trained_model, all_models_sizes, skip_cyrillic_counts, line_counts, lines_model, document_line_counts, empty_documents, model_record_count, model_nested, model_merged, model_compare, vocab_intersect,
         vocab_except, model_occurring, model_binary_roundtrip, model_text_roundtrip, lang_scores, detect_long, detect_top, detect_shipped, detect_unknown_reason, detect_documents,
-        detect_local, detect_json, confusion_matrix, accuracy_by_language, cyrillic_gate, ru_score,
-        *map(_with_urls, (tokens_requests, empty_documents, lang_scores, detect_long, detect_top, detect_shipped, detect_unknown_reason, detect_local, confusion_matrix, ru_score)),
+        detect_local, detect_joined, detect_engine, detect_json, confusion_matrix, accuracy_by_language, cyrillic_gate, ru_score,
     )
 }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +29,39 @@ def build_session(app: str = "lingmill", cpus: int | str = "*", shuffle_partitio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a fresh local one only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a fresh local one only where that is unset on a local master (in
+    tests). On a cluster an unset folder is an error, since executors would each write to their own disk."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lingmill-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh place below the shared checkpoint folder, with its scheme."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def filesystem(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path of any scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder and read back, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df` to be broadcast if it has at most `most` rows, which are counted; otherwise as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,53 +1,93 @@
-"""Model readers and writers: text, binary, Parquet; corpora; URL resources are read in `functions.urls`."""
+"""Model readers and writers: text, binary, Parquet; corpora; URL resources are read in `functions.urls`.
+
+Paths are those of any Hadoop file system for what Spark reads and writes, and URIs of any file system that pyarrow knows
+for binary model parts; on a cluster they must be shared by all executors.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingmill.functions.chars import upper
-from lingmill.sources.model_text import parse_lines, read_lines
+from lingmill.session import filesystem
+from lingmill.sources.model_text import BLANK, parse_lines, read_lines
 
 MAX_NGRAM = 0x2000
+MAX_DOCUMENTS = 100_000
 
 
-def read_text_model(spark: SparkSession, paths: dict[str, str | list[str]], strict: bool = True) -> DataFrame:
-    """(ngram, lang, weight) of text files, `paths`: language to path(s) or pattern. With `strict`, a line that doesn't
-    parse is an error that names file, line and reason as soon as it is reached; otherwise blank and broken lines are
-    skipped."""
+def read_model_lines(spark: SparkSession, paths: dict[str, str | list[str]]) -> DataFrame:
+    """(lang, file_name, line_no, text, weight, reason) of every line but headers, `paths`: language to path(s) or pattern."""
     out = None
     for lang, path in paths.items():
-        for p in [path] if isinstance(path, str) else path:
-            rows = parse_lines(read_lines(spark, p)).filter("not is_header").withColumn("lang", F.lit(lang))
-            out = rows if out is None else out.unionByName(rows)
+        rows = parse_lines(read_lines(spark, path)).filter("not is_header").select(F.lit(lang).alias("lang"), "file_name", "line_no", "text", "weight", "reason")
+        out = rows if out is None else out.unionByName(rows)
     if out is None:
-        return spark.createDataFrame([], "ngram string, lang string, weight double")
-    ngram = upper(F.trim("text"))
-    if strict:
-        message = F.concat(F.col("file_name"), F.lit(", line "), F.col("line_no").cast("string"), F.lit(": "), F.col("reason"))
-        ngram = F.when(F.col("reason").isNotNull(), F.raise_error(message)).otherwise(ngram)
-    else:
-        out = out.filter("reason is null")
+        return spark.createDataFrame([], "lang string, file_name string, line_no long, text string, weight float, reason string")
+    return out
+
+
+def read_text_model(spark: SparkSession, paths: dict[str, str | list[str]], strict: bool = True) -> DataFrame:
+    """(ngram, lang, weight) of text files. A line that doesn't parse is an error that names file, line and reason as soon
+    as it is reached; without `strict`, blank lines are passed over. `model_rejects` gives broken lines as rows instead."""
+    out = read_model_lines(spark, paths)
+    if not strict:
+        out = out.filter(~F.coalesce(F.col("reason") == BLANK, F.lit(False)))
+    message = F.concat("file_name", F.lit(", line "), F.col("line_no").cast("string"), F.lit(": "), F.col("reason"))
+    ngram = F.when(F.col("reason").isNotNull(), F.raise_error(message)).otherwise(upper(F.trim("text")))
     return out.select(ngram.alias("ngram"), "lang", F.col("weight").cast("double").alias("weight"))
 
 
-def write_text_model(model: DataFrame, path: str, order: int = 2, cut: int = 1) -> list[str]:
-    """One folder per group and document of (grp, doc, ngram, weight), its files headed by `#`; zero weights are left out.
+def model_rejects(spark: SparkSession, paths: dict[str, str | list[str]]) -> DataFrame:
+    """(lang, file_name, line_no, reason) of the lines of text files that don't parse, blank ones included."""
+    return read_model_lines(spark, paths).filter("reason is not null").select("lang", "file_name", "line_no", "reason")
+
 
-    A document's rows are spread over several files where they are many, so no task writes a hot document alone."""
+def write_text_model(model: DataFrame, path: str, order: int = 2, cut: int = 1, rows_per_file: int = 5_000_000, encoding: str = "UTF-8") -> list[str]:
+    """Text files `path`/group/name of (grp, doc, ngram, weight), and their paths. Each begins with its header and is named
+    after its document, order and cut; a document of more than `rows_per_file` rows is spread over several files, numbered
+    from 2, each with the header, so no task writes a hot document alone. Zero weights are left out. At most 100,000
+    documents."""
+    spark = model.sparkSession
     body = model.filter("weight <> 0")
+    docs = body.groupBy("grp", "doc").agg(F.count("*").alias("n")).limit(MAX_DOCUMENTS + 1).collect()
+    if len(docs) > MAX_DOCUMENTS:
+        raise ValueError(f"more than {MAX_DOCUMENTS} documents")
+    if not docs:
+        return []
     name = f"(ngram_{order}-cut_{cut})"
-    lines = body.select("grp", F.regexp_replace("doc", "(\\.[^.]*)?$", f"-{name}$1").alias("file"), F.concat("ngram", F.lit("\t"), F.col("weight").cast("string")).alias("value"))
-    heads = body.select("grp", "doc").distinct().select("grp", F.regexp_replace("doc", "(\\.[^.]*)?$", f"-{name}$1").alias("file"), F.concat(F.lit("#\t'"), "doc", F.lit(f"' {name}")).alias("value"))
-    heads.coalesce(1).write.mode("overwrite").partitionBy("grp", "file").text(f"{path}/headers")
-    lines.write.mode("overwrite").partitionBy("grp", "file").option("maxRecordsPerFile", 5_000_000).text(f"{path}/rows")
-    return [f"{path}/headers", f"{path}/rows"]
+    info = [(k, r["grp"], r["doc"], -(-r["n"] // rows_per_file)) for k, r in enumerate(docs)]
+    table = spark.createDataFrame(info, "k int, grp string, doc string, parts int")
+    same = body["grp"].eqNullSafe(table["grp"]) & body["doc"].eqNullSafe(table["doc"])
+    rows = body.join(F.broadcast(table), same).select("k", F.pmod(F.xxhash64("ngram"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("row"), F.concat("ngram", F.lit("\t"), F.col("weight").cast("string")).alias("value"))
+    heads = table.select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("row"), F.concat(F.lit("#\t'"), "doc", F.lit(f"' {name}")).alias("value"))
+    made = f"{path}/_making-{uuid.uuid4().hex}"
+    rows.unionByName(heads).repartition("k", "part").sortWithinPartitions("k", "part", "row").select("k", "part", "value").write.partitionBy("k", "part").option("encoding", encoding).text(made)
+    fs, _ = filesystem(spark, made)
+    out = []
+    for k, grp, doc, parts in info:
+        stem, ext = re.fullmatch(r"(.*?)(\.[^.]*)?", doc or "", re.S).groups()
+        for part in range(parts):
+            (source,) = (f.getPath() for f in fs.listStatus(filesystem(spark, f"{made}/k={k}/part={part}")[1]) if f.getPath().getName().startswith("part-"))
+            target = f"{path}/{grp}/{stem}-{name}{f'-{part + 1}' if part else ''}{ext or ''}"
+            at = filesystem(spark, target)[1]
+            fs.mkdirs(at.getParent())
+            fs.delete(at, False)
+            if not fs.rename(source, at):
+                raise OSError(f"can't name {target}")
+            out.append(target)
+    fs.delete(filesystem(spark, made)[1], True)
+    return sorted(out)
 
 
 def encode_record(ngram: str, langs: list[tuple[int, float]]) -> bytes:
@@ -73,26 +113,36 @@ def decode_records(data: bytes) -> Iterator[tuple[str, list[tuple[int, float]]]]
         at = end + 3 + 5 * n
 
 
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    """(pyarrow file system, path in it) of a path or URI."""
+    uri = re.sub("^file:/+", "file:///", path)
+    return pafs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
+
+
 def write_binary_model(model: DataFrame, lang_ids: dict[str, int], path: str, name: str = "model", part_bytes: int = 25_690_112) -> list[str]:
-    """Binary part files of a model (ngram, lang, weight) in the folder `path`, each closed by the first record that takes
-    it to `part_bytes`; their names. Tasks write their own parts, numbered by task; a task's files appear at its end
-    under their names, so a repeated attempt replaces them. An empty model is an error."""
+    """Binary part files of a model (ngram, lang, weight) in the shared folder `path` (a path or URI), each closed by the
+    first record that takes it to `part_bytes`; their paths. Earlier files of that name are deleted. Tasks write their own
+    parts, numbered by task; a part is moved to its name when it is whole, so a repeated attempt replaces it. An empty
+    model is an error."""
     ids = F.create_map(*(F.lit(x) for kv in lang_ids.items() for x in kv))
     records = model.groupBy("ngram").agg(F.collect_list(F.struct(F.element_at(ids, F.col("lang")).cast("int").alias("lang"), F.col("weight").cast("float").alias("weight"))).alias("langs"))
-    os.makedirs(path, exist_ok=True)
-    for f in os.listdir(path):
-        if f.startswith(f"{name}-") or f == f"{name}.bin":
-            os.remove(os.path.join(path, f))
+    store, base = _place(path)
+    store.create_dir(base, recursive=True)
+    for f in store.get_file_info(pafs.FileSelector(base)):
+        if f.base_name == f"{name}.bin" or re.fullmatch(rf"{re.escape(name)}-\d+-\d+\.bin", f.base_name):
+            store.delete_file(f.path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, names = TaskContext.get().partitionId(), []
+        out, folder = _place(path)
         buffer = bytearray()
 
         def close() -> None:
-            final = os.path.join(path, f"{name}-{task:05d}-{len(names) + 1}.bin")
-            with open(f"{final}.{os.getpid()}.tmp", "wb") as f:
-                f.write(buffer)
-            os.replace(f.name, final)
+            final = f"{folder}/{name}-{task:05d}-{len(names) + 1}.bin"
+            draft = f"{final}.{uuid.uuid4().hex}.tmp"
+            with out.open_output_stream(draft) as f:
+                f.write(bytes(buffer))
+            out.move(draft, final)
             names.append(final)
             buffer.clear()
 
@@ -110,15 +160,17 @@ def write_binary_model(model: DataFrame, lang_ids: dict[str, int], path: str, na
     files = sorted(r["file"] for r in records.mapInArrow(run, "file string").collect())
     if not files:
         raise ValueError("no data in the model")
+    if missing := [f.path for f in store.get_file_info(files) if f.type != pafs.FileType.File]:
+        raise OSError(f"{missing[0]} is not there: the folder is not shared by the executors")
     if len(files) == 1:
-        single = os.path.join(path, f"{name}.bin")
-        os.replace(files[0], single)
-        files = [single]
+        store.move(files[0], f"{base}/{name}.bin")
+        files = [f"{base}/{name}.bin"]
     return files
 
 
-def read_binary_model(spark: SparkSession, path: str, lang_ids: dict[str, int], check: bool = True) -> DataFrame:
-    """(ngram, lang, weight) of binary part files. With `check`, an n-gram in more than one record is an error."""
+def read_binary_model(spark: SparkSession, path: str | list[str], lang_ids: dict[str, int], check: bool = True) -> DataFrame:
+    """(ngram, lang, weight) of binary part files, a folder or a list of files. With `check`, an n-gram in more than one
+    record is an error. A part is read as a whole; parts are made of bounded size."""
     codes = {i: c for c, i in lang_ids.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +187,11 @@ def read_binary_model(spark: SparkSession, path: str, lang_ids: dict[str, int],
     return rows.drop("k")
 
 
+def convert_text_to_binary(spark: SparkSession, paths: dict[str, str | list[str]], lang_ids: dict[str, int], path: str, name: str = "model", part_bytes: int = 25_690_112) -> list[str]:
+    """Text model files as binary ones; the paths written."""
+    return write_binary_model(read_text_model(spark, paths, strict=False), lang_ids, path, name, part_bytes)
+
+
 def save_model(model: DataFrame, path: str, records_per_file: int = 1_000_000) -> None:
     """The canonical store: Parquet, clustered by n-gram."""
     model.repartition("ngram").sortWithinPartitions("ngram").write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(path)
@@ -144,16 +201,27 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_corpus(spark: SparkSession, path: str, encoding: str = "UTF-8", pattern: str = "*") -> DataFrame:
-    """(grp, doc, line_no, text): every line of the files below `path`; a file is a document, its folder the group."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+def corpus_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(grp, doc, bytes) of the files below `path`, the largest first; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
     parts = F.split("path", "/")
-    lines = files.select(F.element_at(parts, -2).alias("grp"), F.element_at(parts, -1).alias("doc"), F.posexplode(F.split(F.decode("content", encoding), "\\r?\\n")).alias("n", "text"))
-    return lines.select("grp", "doc", (F.col("n") + 1).cast("long").alias("line_no"), "text")
+    return files.select(F.element_at(parts, -2).alias("grp"), F.element_at(parts, -1).alias("doc"), F.col("length").alias("bytes")).orderBy(F.desc("bytes"), "grp", "doc")
+
+
+def read_corpus(spark: SparkSession, path: str, encoding: str = "UTF-8", pattern: str = "*") -> DataFrame:
+    """(grp, doc, line_no, text): every line of the files below `path`; a file is a document, its folder the group. Files
+    are read in splits, never as a whole."""
+    parts = F.split("file_name", "/")
+    lines = read_lines(spark, path, encoding, True, pattern)
+    name = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return lines.select(name(F.element_at(parts, -2)).alias("grp"), name(F.element_at(parts, -1)).alias("doc"), "line_no", F.col("line_text").alias("text"))
 
 
-def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt", max_chars: int = 10_000_000) -> DataFrame:
-    """(path, text): whole text files below a folder, unreadable ones skipped, long ones cut with `...`."""
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt", max_chars: int | None = None) -> DataFrame:
+    """(path, text): whole text files below a folder, unreadable ones skipped. With `max_chars`, longer texts are cut and
+    end in `...`, as the console does at 10,000,000."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(path, wholetext=True)
     text = F.col("value")
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("..."))).otherwise(text).alias("text"))
+    if max_chars is not None:
+        text = F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("..."))).otherwise(text)
+    return rows.select(F.col("_metadata.file_path").alias("path"), text.alias("text"))

@@ -6,19 +6,20 @@ callback takes the structural rejects; fields are read as strings, then cast as
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lingmill.session import checked_broadcast, cut_lineage
+
 _BOM = "\ufeff"
-_TABS = re.compile(r"\t+")
-#: A quoted Text, closed, and what follows it.
-_QUOTED = re.compile(r'^ *("(?:[^"]|"")*") *(?:\t+(.*))?$', re.S)
+#: A quoted Text, closed, and what follows it (RE2).
+_QUOTED = r'(?s)^ *(?P<q>"(?:[^"]|"")*") *(?:\t+(?P<rest>[^"]*))?$'
 #: Line ends within a line would end the CSV row; they travel as these characters.
 _TRAVEL = {"\n": "\ue00a", "\r": "\ue00d"}
 _WEIGHT = r"^([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -27,26 +28,7 @@ _WEIGHT = r"^([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 MISSING, BLANK, QUOTING, FIELDS, NO_TEXT, BAD_WEIGHT, NOT_FINITE = "missing line", "blank line", "broken quoting", "wrong number of fields", "blank text", "invalid weight", "weight not finite"
 
 
-def _prepare(line: str | None) -> tuple[str | None, str]:
-    """(a rejection, or None; the CSV form of the line: single tabs, none at the ends; `"` first if the Text is quoted)"""
-    if line is None:
-        return MISSING, ""
-    line = line.removesuffix("\r").strip("\t")
-    if not line.strip():
-        return BLANK, ""
-    if line.lstrip(" ").startswith('"'):
-        m = _QUOTED.match(line)
-        if not m or '"' in (m[2] or ""):
-            return QUOTING, ""
-        line = m[1] if m[2] is None else f"{m[1]}\t{_TABS.sub(chr(9), m[2])}"
-    else:
-        line = _TABS.sub("\t", line)
-    for a, b in _TRAVEL.items():
-        line = line.replace(a, b)
-    return None, line
-
-
-def _read(rows: list[tuple[int, str]], quoted: bool) -> tuple[pa.Table, dict[int, str]]:
+def _read(index: pa.Array, lines: pa.Array, quoted: bool) -> tuple[pa.Table, dict[int, str]]:
     """(index, text, weight) of the rows with two fields, and the rejects of the CSV reader."""
     rejects: dict[int, str] = {}
 
@@ -55,9 +37,12 @@ def _read(rows: list[tuple[int, str]], quoted: bool) -> tuple[pa.Table, dict[int
         return "skip"
 
     names = ["index", "text", "weight"]
-    if not rows:
+    if not len(index):
         return pa.table({n: pa.array([], pa.string()) for n in names}), rejects
-    data = "".join(f"{i}\t{line}\n" for i, line in rows).encode("utf-8", "replace")
+    for a, b in _TRAVEL.items():
+        lines = pc.replace_substring(lines, a, b)
+    rows = pc.binary_join_element_wise(pc.binary_join_element_wise(index.cast(pa.string()), lines, "\t"), "", "\n")
+    data = memoryview(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), "")[0].as_buffer())
     table = pcsv.read_csv(
         pa.BufferReader(data),
         read_options=pcsv.ReadOptions(column_names=names, use_threads=False, block_size=len(data) + 1),
@@ -67,24 +52,34 @@ def _read(rows: list[tuple[int, str]], quoted: bool) -> tuple[pa.Table, dict[int
     return table, rejects
 
 
-def parse_batch(lines: list[str | None]) -> tuple[list[str | None], list[float | None], list[str | None]]:
-    """(texts, weights, reasons) of lines, none of them a header."""
+def _choose(mask: pa.Array, value: str, other: pa.Array) -> pa.Array:
+    return pc.if_else(pc.fill_null(mask, False), pa.scalar(value), other)
+
+
+def parse_array(lines: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(texts, weights, reasons) of lines, none of them a header. All steps are vector operations over the batch; Python
+    sees only rows with a wrong number of fields."""
     n = len(lines)
-    texts: list[str | None] = [None] * n
-    weights: list[float | None] = [None] * n
-    reasons: list[str | None] = [None] * n
-    plain, quoted = [], []
-    for i, line in enumerate(lines):
-        reasons[i], form = _prepare(line)
-        if reasons[i] is None:
-            (quoted if form.startswith('"') else plain).append((i, form))
-    for rows, q in ((plain, False), (quoted, True)):
-        table, rejects = _read(rows, q)
+    body = pc.utf8_trim(pc.replace_substring_regex(lines, r"\r$", ""), "\t")
+    blank = pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(body)), 0)
+    quoted = pc.starts_with(pc.utf8_ltrim(body, " "), '"')
+    parts = pc.extract_regex(body, _QUOTED)
+    broken = pc.and_(quoted, pc.is_null(parts))
+    reason = _choose(pc.is_null(lines), MISSING, _choose(blank, BLANK, _choose(broken, QUOTING, pa.nulls(n, pa.string()))))
+    rest = pc.replace_substring_regex(pc.struct_field(parts, "rest"), "\t+", "\t")
+    alone = pc.equal(pc.utf8_length(rest), 0)
+    with_rest = pc.if_else(alone, pc.struct_field(parts, "q"), pc.binary_join_element_wise(pc.struct_field(parts, "q"), rest, "\t"))
+    form = pc.if_else(pc.fill_null(quoted, False), with_rest, pc.replace_substring_regex(body, "\t+", "\t"))
+    texts, weights, reasons = np.full(n, None, dtype=object), np.full(n, np.nan, dtype=np.float32), np.array(reason.to_pylist(), dtype=object)
+    open_rows = pc.is_null(reason)
+    for q in (False, True):
+        at = pc.indices_nonzero(pc.and_(open_rows, pc.equal(pc.fill_null(quoted, False), q)))
+        table, rejects = _read(at, form.take(at), q)
         for i, why in rejects.items():
             reasons[i] = why
         if not len(table):
             continue
-        index = table["index"].to_pylist()
+        place = table["index"].combine_chunks().cast(pa.int64()).to_numpy()
         text = table["text"].combine_chunks()
         for a, b in _TRAVEL.items():
             text = pc.replace_substring(text, b, a)
@@ -92,17 +87,22 @@ def parse_batch(lines: list[str | None]) -> tuple[list[str | None], list[float |
         weight = pc.utf8_trim(table["weight"].combine_chunks(), " ")
         has_text = pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(text)), 0)
         formed = pc.match_substring_regex(weight, _WEIGHT)
-        # float() takes every form the pattern lets through; beyond the range it gives infinity
-        number = pa.array([float(w) if ok else None for w, ok in zip(weight.to_pylist(), formed.to_pylist(), strict=True)], pa.float64())
-        single = pc.cast(number, pa.float32(), safe=False)
+        # the cast takes every form the pattern lets through; beyond the range it gives infinity
+        single = pc.cast(pc.cast(pc.if_else(formed, weight, pa.scalar(None, pa.string())), pa.float64()), pa.float32(), safe=False)
         finite = pc.fill_null(pc.is_finite(single), False)
-        why = pc.case_when(pc.make_struct(pc.invert(has_text), pc.invert(formed), pc.invert(finite)), NO_TEXT, BAD_WEIGHT, NOT_FINITE)
-        for i, t, w, r in zip(index, text.to_pylist(), single.to_pylist(), why.to_pylist(), strict=True):
-            k = int(i)
-            reasons[k] = r
-            if r is None:
-                texts[k], weights[k] = t, w
-    return texts, weights, reasons
+        why = np.array(pc.case_when(pc.make_struct(pc.invert(has_text), pc.invert(formed), pc.invert(finite)), NO_TEXT, BAD_WEIGHT, NOT_FINITE).to_pylist(), dtype=object)
+        good = np.equal(why, None)
+        reasons[place] = why
+        texts[place[good]] = text.to_numpy(zero_copy_only=False)[good]
+        weights[place[good]] = single.to_numpy(zero_copy_only=False)[good]
+    bad = pa.array(reasons, pa.string())
+    return pa.array(texts, pa.string()), pc.if_else(pc.is_null(bad), pa.array(weights), pa.scalar(None, pa.float32())), bad
+
+
+def parse_batch(lines: list[str | None]) -> tuple[list[str | None], list[float | None], list[str | None]]:
+    """`parse_array` for lists."""
+    texts, weights, reasons = parse_array(pa.array(lines, pa.string()))
+    return texts.to_pylist(), weights.to_pylist(), reasons.to_pylist()
 
 
 def with_headers(df: DataFrame, file_col: str = "file_name", no_col: str = "line_no", line_col: str = "line_text") -> DataFrame:
@@ -129,26 +129,27 @@ def parse_lines(df: DataFrame, id_col: str = "line_id", file_col: str = "file_na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines, head = b.column("line").to_pylist(), b.column("is_header").to_pylist()
-            at = [i for i, h in enumerate(head) if not h]
-            texts, weights, reasons = parse_batch([lines[i] for i in at])
-            out = {k: [None] * len(lines) for k in ("text", "weight", "reason")}
-            for i, t, w, r in zip(at, texts, weights, reasons, strict=True):
-                out["text"][i], out["weight"][i], out["reason"][i] = t, w, r
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("file"), b.column("no"), b.column("is_header"), pa.array(out["text"], pa.string()), pa.array(out["weight"], pa.float32()), pa.array(out["reason"], pa.string())],
-                ["id", "file", "no", "is_header", "text", "weight", "reason"],
-            )
+            head = b.column("is_header")
+            texts, weights, reasons = parse_array(pc.if_else(head, pa.scalar("#\t0"), b.column("line")))
+            text, weight, reason = (pc.if_else(head, pa.scalar(None, x.type), x) for x in (texts, weights, reasons))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("file"), b.column("no"), head, text, weight, reason], ["id", "file", "no", "is_header", "text", "weight", "reason"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     parsed = rows.mapInArrow(run, f"id {kinds['id']}, file {kinds['file']}, no {kinds['no']}, is_header boolean, text string, weight float, reason string")
     return parsed.select(F.col("id").alias(id_col), F.col("file").alias(file_col), F.col("no").alias(no_col), "is_header", "text", "weight", "reason")
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(line_id, file_name, line_no, line_text) of text files, numbered from 1 in each file.
-
-    A line's number needs the lines before it, so each file is read as one piece; files are spread over tasks."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("c"))
-    lines = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.posexplode(F.split(F.regexp_replace("c", "\\r?\\n$", ""), "\\r?\\n")).alias("n", "line_text"))
-    return lines.select(F.xxhash64("file_name", "n").alias("line_id"), "file_name", (F.col("n") + 1).cast("long").alias("line_no"), "line_text")
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", recursive: bool = False, pattern: str = "*") -> DataFrame:
+    """(line_id, file_name, line_no, line_text) of text files, numbered from 1 in each file; `file_name` is the whole path.
+
+    Files are read in splits, never as a whole. A line's number is its place in its split plus the lines of the splits
+    before it; the lines of each split are counted first. Places are row ids within a task, less that of the split's first
+    line; both passes read the files in the same splits."""
+    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).option("encoding", encoding)
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line_text"))
+    splits = rows.groupBy("file_name", "_s").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = Window.partitionBy("file_name").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checked_broadcast(cut_lineage(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")), 1_000_000)
+    lines = rows.join(starts, ["file_name", "_s"])
+    number = F.col("_before") + F.col("_i") - F.col("_first") + 1
+    return lines.select(F.xxhash64("file_name", number).alias("line_id"), "file_name", number.alias("line_no"), "line_text")

@@ -6,13 +6,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lingmill.config import CUTS, DetectorConfig, EngineConfig, RussianConfig, TrainConfig
+from lingmill.config import CUTS, BuilderConfig, ConverterConfig, DetectorConfig, EngineConfig, RussianConfig, ServiceConfig, TrainConfig
 from lingmill.operators import detect as D
 from lingmill.operators import model as M
 from lingmill.operators import russian as R
 from lingmill.operators import train as T
-from lingmill.plans.engine import Engine
+from lingmill.plans.engine import Engine, build_models
 from lingmill.sources import model_files as MF
+from lingmill.sources.model_text import read_lines
 
 
 def counts(spark, rows):
@@ -74,6 +75,100 @@ def test_counting(spark):
     assert {r["ngram"]: r["cnt"] for r in T.merge_counts(part, part).collect()} == {"A": 2, "B": 4}
 
 
+def grams(words, n):
+    return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+@pytest.mark.parametrize("block", [2, 10_000])
+def test_ngrams_over_lines(spark, block, monkeypatch):
+    """Against files read as one text; lines that are empty, short, long; two documents; any blocks."""
+    import random
+
+    monkeypatch.setattr(T.join_lines, "__defaults__", (block,))
+    rng, rows, files = random.Random(7), [], {}
+    for doc in ("d", "e", None):
+        for no in range(1, 40):
+            words = [rng.choice("abcdж") for _ in range(rng.choice([0, 0, 1, 1, 2, 5]))]
+            rows.append(("g", doc, no * 3, words))
+            files.setdefault(doc, []).extend(words)
+    df = spark.createDataFrame(rows, "grp string, doc string, no long, tokens array<string>").orderBy(F.rand(1))
+    got = Counter({(r["doc"], r["n"], r["ngram"]): r["cnt"] for r in T.count_ngrams(df, 4, line_col="no").collect()})
+    assert got == Counter((doc, n, g) for doc, ws in files.items() for n in (1, 2, 3, 4) for g in grams(ws, n))
+    for gap in ("bridge", "reset"):
+        got = Counter({(r["doc"], r["n"], r["ngram"]): r["cnt"] for r in T.count_ngrams(df, 3, F.lit(True), gap, "no").collect()})
+        want = Counter()
+        for doc, ws in files.items():
+            parts = [[w for w in ws if w != "ж"]] if gap == "bridge" else [p.split() for p in " ".join(ws).split("ж")]
+            want.update((doc, n, g) for p in parts for n in (1, 2, 3) for g in grams(p, n))
+        assert got == want, gap
+    assert T.count_ngrams(df.limit(0), 2, line_col="no").count() == 0
+    texts = spark.createDataFrame([("k", 2, "c d\r\ne"), ("k", 1, "a\n\nb"), ("k", 3, None)], "doc string, id long, text string")
+    assert [r["text"] for r in T.split_lines(texts, ["doc"], "id").orderBy("line_no").collect()] == ["a", "", "b", "c d", "e"]
+
+
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    want = {}
+    for name, n in (("one.txt", 3000), ("two.txt", 1), ("three.txt", 700)):
+        lines = [f"{name} {i} {'x' * (i % 50)}" for i in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+        want |= {(name, i + 1): t for i, t in enumerate(lines)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r["file_name"].rsplit("/", 1)[1], r["line_no"]): r["line_text"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_text_model_files(spark, tmp_path):
+    rows = [("g", "en.txt", "FOO", 0.5), ("g", "en.txt", "BAR", 0.25), ("g", "en.txt", "NONE", 0.0), ("h", "a.b c", "FOO", 1e-7)]
+    m = spark.createDataFrame(rows, "grp string, doc string, ngram string, weight double")
+    files = MF.write_text_model(m, str(tmp_path), rows_per_file=10)
+    assert [f.removeprefix(str(tmp_path)) for f in files] == ["/g/en-(ngram_2-cut_1).txt", "/h/a-(ngram_2-cut_1).b c"]
+    first, *rest = open(files[0], encoding="utf-8").read().splitlines()
+    assert first == "#\t'en.txt' (ngram_2-cut_1)" and sorted(rest) == ["BAR\t0.25", "FOO\t0.5"]
+    back = MF.read_text_model(spark, {"EN": files[0], "X": files[1]})
+    assert {(r["ngram"], r["lang"], round(r["weight"], 9)) for r in back.collect()} == {("FOO", "EN", 0.5), ("BAR", "EN", 0.25), ("FOO", "X", 1e-7)}
+    many = MF.write_text_model(m, str(tmp_path / "many"), 1, 2, rows_per_file=1)
+    assert len(many) == 3 and all(open(f, encoding="utf-8").readline().startswith("#") for f in many) and MF.read_text_model(spark, {"EN": many}).count() == 3
+    assert MF.write_text_model(m.limit(0), str(tmp_path / "none")) == []
+    ids = {"EN": 1, "X": 2}
+    binary = MF.convert_text_to_binary(spark, {"EN": files[0], "X": files[1]}, ids, f"file://{tmp_path}/bin")
+    assert M.compare(back, MF.read_binary_model(spark, binary, ids)).count() == 0
+
+
+def test_build_from_settings(spark, tmp_path):
+    for group, doc, text in (("latin", "en.txt", "the cat sat\non the mat ж\n"), ("latin", "fr.txt", "le chat est\nla\n"), ("slavic", "ru.txt", "кот на\nкоте"), ("slavic", "bg.txt", "котка")):
+        (tmp_path / "in" / group).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / group / doc).write_text(text, encoding="utf-8")
+    cfg = BuilderConfig(input_folder=str(tmp_path / "in"), groups=("latin", "slavic"), groups_without_cyrillic=("latin",), output_folder=str(tmp_path / "out"), train=TrainConfig(cut=0))
+    files = build_models(spark, cfg)
+    assert [f.removeprefix(str(tmp_path / "out")) for f in files] == ["/latin/en-(ngram_2-cut_0).txt", "/latin/fr-(ngram_2-cut_0).txt", "/slavic/bg-(ngram_2-cut_0).txt", "/slavic/ru-(ngram_2-cut_0).txt"]
+    got = {r["ngram"] for r in MF.read_text_model(spark, {"EN": files[0]}).collect()}
+    assert "SAT ON" in got and "Ж" not in got and "НА КОТЕ" in {r["ngram"] for r in MF.read_text_model(spark, {"RU": files[3]}).collect()}
+    (tmp_path / "in" / "latin" / "empty.txt").write_text("\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="latin/empty.txt"):
+        build_models(spark, cfg)
+
+
+def test_scoring_strategy(spark):
+    t = texts(spark, ["foo bar baz"])
+    plain = D.detect(t, model(spark), "id", weigh=lambda w, hits, terms: w).first()["langs"]
+    assert [(x["lang"], x["weight"]) for x in plain] == [("EN", pytest.approx(0.7)), ("DE", pytest.approx(0.1))]
+
+
+def test_one_failing_setting_does_not_stop_the_others(spark):
+    d = docs(spark, [("d1", "a b c a"), ("d2", "x y z x")])
+    bad, errors = TrainConfig(), {}
+    object.__setattr__(bad, "weighting", "none such")
+    with pytest.warns(UserWarning, match="order 2"):
+        got = T.train_all(d, [bad, TrainConfig(order=1)], errors)
+    assert {(r["order"], r["cut"]) for r in got.select("order", "cut").distinct().collect()} == {(1, 1)} and list(errors) == [(2, 1)]
+    with pytest.raises(KeyError), pytest.warns(UserWarning):
+        T.train_all(d, [bad])
+
+
 def test_order_and_empty(spark):
     c = counts(spark, [("d", 1, "B", 2), ("d", 1, "A", 2), ("d", 1, "C", 3)])
     assert [r["ngram"] for r in T.ordered(c).collect()] == ["C", "A", "B"] and [r["ngram"] for r in T.ordered(c, "desc").collect()] == ["C", "B", "A"]
@@ -236,13 +331,35 @@ def test_engine_and_files(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("foo\n", encoding="utf-8")
     with pytest.raises(Exception, match="wrong number of fields"):
         MF.read_text_model(spark, {"EN": str(tmp_path / "bad.txt")}).collect()
-    assert MF.read_text_model(spark, {"EN": str(tmp_path / "bad.txt")}, strict=False).count() == 0
+    with pytest.raises(Exception, match="wrong number of fields"):
+        MF.read_text_model(spark, {"EN": str(tmp_path / "bad.txt")}, strict=False).collect()
+    (tmp_path / "gaps.txt").write_text("\nfoo\t1\n \t\nbar\t2\n", encoding="utf-8")
+    assert {r["ngram"] for r in MF.read_text_model(spark, {"EN": str(tmp_path / "gaps.txt")}, strict=False).collect()} == {"FOO", "BAR"}
+    with pytest.raises(Exception, match="line 1: blank line"):
+        MF.read_text_model(spark, {"EN": str(tmp_path / "gaps.txt")}).collect()
+    both = MF.model_rejects(spark, {"EN": [str(tmp_path / "bad.txt"), str(tmp_path / "gaps.txt")]}).collect()
+    assert {(r["file_name"].rsplit("/", 1)[1], r["line_no"], r["reason"]) for r in both} == {("bad.txt", 1, "wrong number of fields: 1"), ("gaps.txt", 1, "blank line"), ("gaps.txt", 3, "blank line")}
+    assert MF.read_text_model(spark, {}).count() == 0
     (tmp_path / "c" / "german").mkdir(parents=True)
     (tmp_path / "c" / "german" / "a.txt").write_text("eins\nzwei", encoding="utf-8")
     assert [(r["grp"], r["doc"], r["line_no"], r["text"]) for r in MF.read_corpus(spark, str(tmp_path / "c")).orderBy("line_no").collect()] == [("german", "a.txt", 1, "eins"), ("german", "a.txt", 2, "zwei")]
     assert MF.read_texts(spark, str(tmp_path / "c"), max_chars=3).first()["text"] == "ein..."
+    (tmp_path / "c" / "german" / "long.txt").write_text("x" * 10_000_001, encoding="utf-8")
+    assert MF.read_texts(spark, str(tmp_path / "c"), "long.txt").select(F.length("text")).first()[0] == 10_000_001  # nothing is cut unasked
+    assert [(r["doc"], r["bytes"]) for r in MF.corpus_files(spark, str(tmp_path / "c")).collect()] == [("long.txt", 10_000_001), ("a.txt", 9)]
     cfg = EngineConfig.from_mapping({"ML_THRESHOLD_PERCENT": "12", "RU_THRESHOLD": "0.4", "BINARY_MODEL_FOLDER": "x"})
     assert cfg.detector.min_percent == 12 and cfg.russian.threshold == 0.4 and cfg.model_format == "binary"
+    cfg = EngineConfig.from_mapping({"LANGUAGE_MODELS_FOLDER": "m/", "EN": "en.txt", "RU-ML": "ru.txt", "RU-RU": "ru-only.txt", "DE": " "}, ["EN", "DE", "RU"])
+    assert cfg.text_files == {"EN": "m/en.txt", "RU": "m/ru.txt"} and cfg.russian_file == "m/ru-only.txt" and cfg.model_format == "text"
+    cfg = EngineConfig.from_mapping({"BINARY_MODEL_FOLDER": "b", "BINARY_MODEL_FILE_NAMES": "x-1.bin; x-2.bin;"})
+    assert cfg.binary_files == ("b/x-1.bin", "b/x-2.bin")
+    cfg = ConverterConfig.from_mapping({"OUTPUT_FILE_NAME": "o", "OUTPUT_FILE_SIZE_IN_BYTES": "12", "EN": "en.txt"}, ["EN"])
+    assert (cfg.output_name, cfg.part_bytes, cfg.text_files) == ("o", 12, {"EN": "en.txt"})
+    cfg = BuilderConfig.from_mapping({"NGARMS": "ngram_4", "CUT_THRESHOLD": "cut_2", "BUILD_MODE": "all_possible_models", "INPUT_FOLDERS_BY_LANGUAGE": "a;\n b ;"})
+    assert (cfg.train.order, cfg.train.cut, cfg.all_models, cfg.groups) == (2, 2, True, ("a", "b"))
+    assert ServiceConfig.from_mapping({"CONCURRENT_FACTORY_INSTANCE_COUNT": "7"}).instances == 7
+    with pytest.raises(LookupError):
+        BuilderConfig(input_encoding="no such thing")
     with pytest.raises(ValueError, match="ML_THRESHOLD_PERCENT"):
         DetectorConfig.from_mapping({"ML_THRESHOLD_PERCENT": "many"})
 

@@ -28,15 +28,15 @@ def test_requests_without_urls(spark, tables):
     run = lambda name: QUERIES[name](spark, tables).collect()
     words = {i: tokens_exact(t, UrlRules.default(spark)) for i, t in REQUESTS if t is not None}
     assert words[1] == ["DER", "DIENST", "LIEST"] and words[2] == []
-    assert {r["req_id"]: r["words"].split("|") if r["words"] else [] for r in run("tokens_requests_urls")} == words
-    assert {r["req_id"]: r["terms"] for r in run("lang_scores_urls")} == {i: len(w) for i, w in words.items()} | {4: 0}
-    assert {r["req_id"] for r in run("empty_documents_urls")} == {2, 4}
+    assert {r["req_id"]: r["words"].split("|") if r["words"] else [] for r in run("tokens_requests")} == words
+    assert {r["req_id"]: r["terms"] for r in run("lang_scores")} == {i: len(w) for i, w in words.items()} | {4: 0}
+    assert {r["req_id"] for r in run("empty_documents")} == {2, 4}
     best = {1: ("DE", 100), 2: (None, None), 3: ("EN", 100), 4: (None, None), 5: ("EN", 100), 6: ("EN", 100)}
-    for name in ("detect_top_urls", "detect_local_urls", "detect_shipped_urls"):
+    for name in ("detect_top", "detect_local", "detect_joined", "detect_engine", "detect_shipped"):
         assert {r["req_id"]: (r["lang"], r["percent"]) for r in run(name)} == best, name
-    assert {(r["req_id"], r["lang"]) for r in run("detect_long_urls")} == {(i, lang) for i, (lang, _) in best.items() if lang}
-    assert {(r["reason"], r["n"]) for r in run("detect_unknown_reason_urls")} == {(None, 4), ("no terms", 2)}
+    assert {(r["req_id"], r["lang"]) for r in run("detect_long")} == {(i, lang) for i, (lang, _) in best.items() if lang}
+    assert {(r["reason"], r["n"]) for r in run("detect_unknown_reason")} == {(None, 4), ("no terms", 2)}
     assert {r["req_id"]: "DE" in r["shown"] for r in run("detect_json")}[1] and not [r for r in run("detect_json") if r["req_id"] == 1 and "EN" in r["shown"]]
-    assert {(r["label"], r["lang"]): r["n"] for r in run("confusion_matrix_urls")} == {("DE", "DE"): 1, (None, None): 2, (None, "EN"): 3}
+    assert {(r["label"], r["lang"]): r["n"] for r in run("confusion_matrix")} == {("DE", "DE"): 1, (None, None): 2, (None, "EN"): 3}
     assert not {w for r in run("skip_cyrillic_counts") for w in r["ngram"].split()} & {"HTTPS", "WWW", "EXAMPLE", "ORG"}
-    assert len(run("ru_score_urls")) == len(REQUESTS)
+    assert len(run("ru_score")) == len(REQUESTS)
