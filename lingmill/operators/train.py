@@ -7,6 +7,7 @@ not there is 0 (residual IDF says what an absent n-gram weighs in a column).
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
 
 
 def cut_counts(counts: DataFrame, cut: int) -> DataFrame:
-    """The n-grams of each (grp, doc, n) that make up the first percents of its mass, the most frequent first, of equal
+    """`counts` is read several times: write it first if it is costly. The n-grams of each (grp, doc, n) that make up the first percents of its mass, the most frequent first, of equal
     counts the lesser n-gram first: kept while the running sum is at most the percentage.
 
     No document's vocabulary is sorted in one task. The count at which the mass runs out is found from the histogram of
@@ -109,23 +110,35 @@ def cut_counts(counts: DataFrame, cut: int) -> DataFrame:
     fits = F.floor((F.col("pct") * F.col("total") - F.col("above") * 100) / (F.col("cnt") * 100))
     seen = seen.withColumn("fit", F.greatest(F.lit(0), F.least(F.col("k"), fits)).cast("long"))
     full = F.min(F.when(F.col("fit") == F.col("k"), 1).otherwise(0)).over(unit.orderBy(F.desc("cnt")))
-    edge = seen.withColumn("all_above", full).withColumn("before", F.coalesce(F.lag("all_above").over(unit.orderBy(F.desc("cnt"))), F.lit(1)))
-    limits = edge.filter((F.col("before") == 1) & (F.col("fit") > 0)).select("grp", "doc", "n", "cnt", "k", "fit")
+    marked = seen.withColumn("all_above", full).withColumn("before", F.coalesce(F.lag("all_above").over(unit.orderBy(F.desc("cnt"))), F.lit(1)))
+    limits = marked.filter((F.col("before") == 1) & (F.col("fit") > 0)).select("grp", "doc", "n", "cnt", "k", "fit")
     # one row for each count from the most frequent down to where the mass runs out, a few hundred a document
     limits = checked_broadcast(cut_lineage(limits))
     kept = counts.join(limits, ["grp", "doc", "n", "cnt"])
-    whole = kept.filter("fit = k").select("grp", "doc", "n", "ngram", "cnt")
-    # of the tied ones, buckets before the edge stay, those behind it go, and the bucket at the edge is looked at closer
+    columns = ["grp", "doc", "n", "ngram", "cnt"]
     tied = kept.filter("fit < k")
-    for size in (2, 4, 8):
-        named = tied.withColumn("b", F.substring("ngram", 1, size))
-        sizes = named.groupBy("grp", "doc", "n", "b").agg(F.count("*").alias("m"))
-        offset = sizes.withColumn("first", F.coalesce(F.sum("m").over(unit.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        near = named.join(offset, ["grp", "doc", "n", "b"]).filter("first < fit")
-        whole = whole.unionByName(near.filter("first + m <= fit").select("grp", "doc", "n", "ngram", "cnt"))
-        tied = near.filter("first + m > fit").withColumn("fit", F.col("fit") - F.col("first")).drop("b", "m", "first")
+    edge3 = _edge(tied.withColumn("b", F.substring("ngram", 1, 3)), unit).select("grp", "doc", "n", F.col("b").alias("b3"), F.col("rest").alias("rest3"))
+    near = tied.drop("fit").join(edge3, ["grp", "doc", "n"])
+    at_edge = near.filter(F.substring("ngram", 1, 3) == F.col("b3"))
+    edge8 = _edge(at_edge.withColumn("b", F.substring("ngram", 1, 8)).withColumn("fit", F.col("rest3")), unit).select("grp", "doc", "n", F.col("b").alias("b8"), F.col("rest").alias("rest8"))
+    at_edge = at_edge.join(edge8, ["grp", "doc", "n"])
     number = F.row_number().over(Window.partitionBy("grp", "doc", "n").orderBy("ngram"))
-    return whole.unionByName(tied.withColumn("r", number).filter("r <= fit").select("grp", "doc", "n", "ngram", "cnt"))
+    parts = [
+        kept.filter("fit = k"),
+        near.filter(F.substring("ngram", 1, 3) < F.col("b3")),
+        at_edge.filter(F.substring("ngram", 1, 8) < F.col("b8")),
+        at_edge.filter(F.substring("ngram", 1, 8) == F.col("b8")).withColumn("r", number).filter(F.col("r") <= F.col("rest8")),
+    ]
+    return reduce(DataFrame.unionByName, (x.select(*columns) for x in parts))
+
+
+def _edge(rows: DataFrame, unit) -> DataFrame:
+    """Of rows (grp, doc, n, b, fit): the bucket `b` in which the `fit`-th row falls, in the order of buckets, and how many
+    rows of it still fit. One row for each document and order, broadcast if they are few."""
+    sizes = rows.groupBy("grp", "doc", "n", "fit", "b").agg(F.count("*").alias("m"))
+    first = F.coalesce(F.sum("m").over(unit.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sizes.withColumn("first", first).filter((F.col("first") < F.col("fit")) & (F.col("first") + F.col("m") >= F.col("fit")))
+    return checked_broadcast(cut_lineage(at.select("grp", "doc", "n", "b", (F.col("fit") - F.col("first")).alias("rest"))))
 
 
 def group_sizes(counts: DataFrame) -> DataFrame:

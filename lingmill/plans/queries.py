@@ -138,11 +138,11 @@ def merged_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cut1_counts(spark: SparkSession, d: str) -> DataFrame:
-    return T.cut_counts(_counts(spark, d), 1)
+    return T.cut_counts(cut_lineage(_counts(spark, d)), 1)
 
 
 def cut2_counts(spark: SparkSession, d: str) -> DataFrame:
-    return T.cut_counts(_counts(spark, d), 2)
+    return T.cut_counts(cut_lineage(_counts(spark, d)), 2)
 
 
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -27,14 +28,26 @@ MAX_DOCUMENTS = 100_000
 
 
 def read_model_lines(spark: SparkSession, paths: dict[str, str | list[str]]) -> DataFrame:
-    """(lang, file_name, line_no, text, weight, reason) of every line but headers, `paths`: language to path(s) or pattern."""
-    out = None
+    """(lang, file_name, line_no, text, weight, reason) of every line but headers, `paths`: language to path(s) or pattern.
+    All files are read in one plan. A path without a file is an error; at most 100,000 files."""
+    langs: dict[str, str] = {}
     for lang, path in paths.items():
-        rows = parse_lines(read_lines(spark, path)).filter("not is_header").select(F.lit(lang).alias("lang"), "file_name", "line_no", "text", "weight", "reason")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+        for p in [path] if isinstance(path, str) else path:
+            fs, at = filesystem(spark, p)
+            found = fs.globStatus(at)
+            if not found:
+                raise FileNotFoundError(p)
+            for f in found:
+                for g in fs.listStatus(f.getPath()) if f.isDirectory() else [f]:
+                    langs[re.sub("^file:/+", "file:///", g.getPath().toUri().toString())] = lang
+    if not langs:
         return spark.createDataFrame([], "lang string, file_name string, line_no long, text string, weight float, reason string")
-    return out
+    if len(langs) > MAX_DOCUMENTS:
+        raise ValueError(f"more than {MAX_DOCUMENTS} files")
+    table = F.broadcast(spark.createDataFrame([(re.sub("^file:/+", "", f), lang) for f, lang in langs.items()], "_file string, lang string"))
+    rows = parse_lines(read_lines(spark, [unquote(f) for f in langs])).filter("not is_header")
+    known = rows.join(table, F.regexp_replace("file_name", "^file:/+", "") == F.col("_file"))
+    return known.select("lang", "file_name", "line_no", "text", "weight", "reason")
 
 
 def read_text_model(spark: SparkSession, paths: dict[str, str | list[str]], strict: bool = True) -> DataFrame:
