@@ -1,7 +1,7 @@
 """Language detection: 1- and 2-grams of each text against a model, thresholds, ranked languages.
 
 Two physical forms with the same result. The local form looks hashes of n-grams up in arrays that every executor fetches
-once as files, batch by batch and without a shuffle, also on streams and as SQL function; it holds any model whose arrays
+once as a file, batch by batch and without a shuffle, also on streams and as SQL function; it holds any model whose arrays
 stay below a checked size, that of 19 languages with 6.6 million n-grams included. Larger models are joined.
 """
 
@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from lingmill.session import cut_lineage, filesystem, shared_folder
 
 #: A model whose arrays take at most so many bytes in each Python worker is looked up locally, a larger one is joined.
 LOCAL_BYTES = 512 * 1024 * 1024
-_ROW_BYTES = 8 + 4 + 2 + 4 + 8
+_ROW_BYTES = 8 + 8 + 4 + 4 + 2 + 4
 _CELLS = "array<struct<lang:string,weight_sum:double,hits:long>>"
 
 
@@ -51,17 +50,35 @@ class LocalModel:
     shift: np.uint64
 
     @classmethod
-    def load(cls, paths: list[str]) -> LocalModel:
-        t = pq.ParquetDataset(paths).read(columns=["key", "check", "lang", "hits", "weight"]) if paths else None
-        cols = [t[c].to_numpy() if t is not None and len(t) else np.zeros(0) for c in ("key", "check", "lang", "hits", "weight")]
-        key = cols[0].astype(np.int64).view(np.uint64)
+    def of_rows(cls, key: np.ndarray, check: np.ndarray, lang: np.ndarray, hits: np.ndarray, weight: np.ndarray) -> LocalModel:
         order = np.argsort(key, kind="stable")
         key = key[order]
         bits = max(1, min(24, int(len(key)).bit_length()))
         shift = np.uint64(64 - bits)
         begin = np.concatenate([[0], np.cumsum(np.bincount((key >> shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
-        kinds = (np.uint32, np.int16, np.int32, np.float64)
-        return cls(key, *(c.astype(np.int64 if k is np.uint32 else k)[order].astype(k) for c, k in zip(cols[1:], kinds, strict=True)), begin, shift)
+        return cls(key, check[order].astype(np.uint32), lang[order].astype(np.int16), hits[order].astype(np.int32), weight[order].astype(np.float64), begin, shift)
+
+    _ARRAYS = (("key", "<u8"), ("weight", "<f8"), ("check", "<u4"), ("hits", "<i4"), ("begin", "<i4"), ("lang", "<i2"))
+
+    def parts(self) -> Iterator[bytes]:
+        """The file of a model: its numbers of rows and of bits, and the arrays, the widest first."""
+        yield np.array([len(self.key), 64 - int(self.shift)], dtype="<i8").tobytes()
+        for name, kind in self._ARRAYS:
+            yield np.ascontiguousarray(getattr(self, name).astype(kind, copy=False)).tobytes()
+
+    @classmethod
+    def load(cls, path: str | None) -> LocalModel:
+        """A model from its file, of which every worker of a machine maps the same memory; without a file an empty one."""
+        if path is None:
+            none = np.zeros(0, dtype=np.int64)
+            return cls.of_rows(none.view(np.uint64), none, none, none, none)
+        n, bits = np.fromfile(path, dtype="<i8", count=2).tolist()
+        arrays, at = {}, 16
+        for name, kind in cls._ARRAYS:
+            size = (1 << bits) + 1 if name == "begin" else n
+            arrays[name] = np.asarray(np.memmap(path, dtype=kind, mode="r", offset=at, shape=(size,)))
+            at += size * np.dtype(kind).itemsize
+        return cls(shift=np.uint64(64 - bits), **arrays)
 
     def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of every row of the model with the key and check of a query."""
@@ -100,16 +117,16 @@ class LocalModel:
         return np.bincount(text[found], minlength=texts), weights.reshape(texts, n_langs), hits.reshape(texts, n_langs)
 
 
-_loaded: dict[tuple[str, ...], LocalModel] = {}
+_loaded: dict[str | None, LocalModel] = {}
 
 
-def _local(files: tuple[str, ...]) -> LocalModel:
-    """The model of some files, read once for each Python worker; at most two are kept."""
-    if files not in _loaded:
+def _local(file: str | None) -> LocalModel:
+    """The model of a file that Spark has handed to this executor; a worker keeps two open."""
+    if file not in _loaded:
         while len(_loaded) > 1:
             _loaded.pop(next(iter(_loaded)))
-        _loaded[files] = LocalModel.load([SparkFiles.get(f) for f in files])
-    return _loaded[files]
+        _loaded[file] = LocalModel.load(SparkFiles.get(file) if file else None)
+    return _loaded[file]
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +140,11 @@ class ModelTooLarge(ValueError):
 
 
 class LocalDetector:
-    """A model as files on the executors, for detection row by row.
+    """A model as a file on the executors, for detection row by row.
 
-    Making one runs jobs: the model is merged, hashed and written to the shared checkpoint folder, in files that Spark
-    hands to the executors. A model of more than `max_bytes` in arrays is an error."""
+    Making one runs jobs: the model is merged and counted, and if its arrays take at most `max_bytes` (a larger one is an
+    error), the driver gets the hashed rows, writes them in order to the shared checkpoint folder, and has Spark hand that
+    file to the executors, which map it into memory once for all their workers."""
 
     def __init__(self, model: DataFrame, config: DetectorConfig | None = None, max_bytes: int = LOCAL_BYTES, merged_model: DataFrame | None = None):
         cells = merged_model if merged_model is not None else cut_lineage(merged(model))
@@ -138,26 +156,29 @@ class LocalDetector:
         if len(self.langs) > 32_767:
             raise ValueError("more than 32,767 languages")
         self.config = config or DetectorConfig()
-        self.files: tuple[str, ...] = ()
+        self.file: str | None = None
         if rows:
             number = F.element_at(F.create_map(*(x for i, c in enumerate(self.langs) for x in (F.lit(c), F.lit(i)))), F.col("lang"))
-            path = shared_folder(spark, "local-model")
-            packed = cells.select("ngram", number.alias("lang"), F.col("hits").cast("int").alias("hits"), "weight").mapInArrow(_hash_rows, "key long, check long, lang int, hits int, weight double")
-            packed.coalesce(max(1, rows * _ROW_BYTES // (64 * 1024 * 1024))).write.parquet(path)
-            fs, folder = filesystem(spark, path)
-            found = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")]
-            for f in found:
-                spark.sparkContext.addFile(f.toString())
-            self.files = tuple(sorted(f.getName() for f in found))
+            t = cells.select("ngram", number.alias("lang"), F.col("hits").cast("int").alias("hits"), "weight").mapInArrow(_hash_rows, "key long, check long, lang int, hits int, weight double").toArrow()
+            packed = LocalModel.of_rows(t["key"].to_numpy().view(np.uint64), *(t[c].to_numpy() for c in ("check", "lang", "hits", "weight")))
+            path = f"{shared_folder(spark, 'local-model')}.bin"
+            fs, at = filesystem(spark, path)
+            out = fs.create(at)
+            for part in packed.parts():
+                for i in range(0, len(part), 1 << 24):
+                    out.write(bytearray(part[i : i + (1 << 24)]))
+            out.close()
+            spark.sparkContext.addFile(path)
+            self.file = path.rsplit("/", 1)[1]
 
     def scored(self, tokens: Column) -> Column:
         """(terms, detected, x) of a token array, x the (lang, weight_sum, hits) of each language."""
-        files, langs = self.files, self.langs
+        file, langs = self.file, self.langs
         names = pa.array([*langs], pa.string())
 
         @F.arrow_udf(f"struct<terms:int,detected:long,x:{_CELLS}>")
         def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = _local(files)
+            model = _local(file)
             for a in batches:
                 yield pa.concat_arrays([_score(model, part, names) for part in _slices(a)]) if len(a) else _score(model, a, names)
 
@@ -170,11 +191,11 @@ class LocalDetector:
 
     def sql_function(self, rules: UrlRules | None):
         """A function text -> array<struct<lang,weight,percent>> for SQL."""
-        files, langs, config = self.files, self.langs, self.config
+        file, langs, config = self.file, self.langs, self.config
 
         @F.arrow_udf("array<struct<lang:string,weight:double,percent:int>>")
         def detect_language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model, names = _local(files), pa.array(langs, pa.string())
+            model, names = _local(file), pa.array(langs, pa.string())
             for a in batches:
                 rows = _score(model, scan.word_lists(a, rules), names).to_pylist()
                 got = [[dict(zip(("lang", "weight", "percent"), x, strict=True)) for x in decide(r["terms"], r["detected"], [(x["lang"], x["weight_sum"], x["hits"]) for x in r["x"]], config)] for r in rows]
