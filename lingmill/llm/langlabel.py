@@ -54,7 +54,7 @@ class Profiles:
     """Letter vectors, language prototypes, and the words' bundles.
 
     A text's vector is the sum of its words' bundles. Bundles of words, and their products with the prototypes, are
-    remembered up to a bound (`memory` words of `dims` 16-bit numbers); what is forgotten is made again."""
+    remembered up to a bound (`memory` words of `dims` bytes); what is forgotten is made again."""
 
     def __init__(self, dims: int = 2048, n: int = 3, seed: int = 17, memory: int = 16_384):
         self.dims, self.n, self.seed, self.memory = dims, n, seed, memory
@@ -92,7 +92,7 @@ class Profiles:
         proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
         proto -= proto.mean(axis=0)
         self.proto = proto / np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
-        self.bundles, self.products = np.zeros((0, self.dims), dtype=np.int16), np.zeros((0, len(self.codes)), dtype=np.float64)
+        self.bundles, self.products = np.zeros((0, self.dims), dtype=np.int8), np.zeros((0, len(self.codes)), dtype=np.float64)
         return self
 
     def bundle(self, w: str) -> np.ndarray:
@@ -103,15 +103,15 @@ class Profiles:
         return v
 
     def word(self, w: str) -> int | None:
-        """The row of a word in `bundles` and `products`; None for one too long for 16 bits."""
+        """The row of a word in `bundles` and `products`; None for one with more n-grams than 8 bits can count."""
         row = self.words.get(w)
         if row is None:
-            if len(w) > 10_000:
+            if len(w) > 120:
                 return None
             row = len(self.words)
             if row >= len(self.bundles):
                 more = max(1024, row // 2)
-                self.bundles = np.concatenate([self.bundles, np.zeros((more, self.dims), dtype=np.int16)])
+                self.bundles = np.concatenate([self.bundles, np.zeros((more, self.dims), dtype=np.int8)])
                 self.products = np.concatenate([self.products, np.zeros((more, len(self.codes)))])
             v = self.bundle(w)
             self.bundles[row], self.products[row] = v, self.proto @ v.astype(np.float32)
@@ -123,6 +123,13 @@ class Profiles:
         taken."""
         if len(self.words) + min(len(words), self.memory // 2) > self.memory:
             self.words.clear()
+        if len(words) <= self.memory // 2 and sum(map(len, words)) + len(words) < 32_000:
+            # as many n-grams as 16 bits can count
+            known = self.words
+            rows = [known[w] if w in known else self.word(w) for w in words]
+            if None not in rows:
+                f = np.add.reduce(self.bundles.take(rows, axis=0), axis=0, dtype=np.int16).astype(np.float32)
+                return (self.products.take(rows, axis=0).sum(axis=0) / max(1e-9, float(f @ f) ** 0.5)).astype(np.float32)
         v, dots = np.zeros(self.dims, dtype=np.int64), np.zeros(len(self.codes))
         for at in range(0, len(words), self.memory // 2):
             part = words[at : at + self.memory // 2]
