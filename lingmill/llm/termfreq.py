@@ -27,46 +27,53 @@ def counting_rows(df: DataFrame) -> DataFrame:
 
 def heavy_terms(df: DataFrame, tracked: int = 65_536, share: float | None = None) -> list[str]:
     """The terms of `df` whose share of the rows is `share` or more, by a sketch of `tracked` counters over all rows. By
-    default a term is heavy if its rows fill half an average task of the shuffle or more, so there are at most twice as
-    many heavy terms as shuffle partitions, and every light term fits into a task with others.
+    default a term is heavy if its rows fill half an average task of the shuffle, or 0.2 % of the table if that is less;
+    so there are at most 500, or twice as many heavy terms as shuffle partitions, and every light term fits into a task
+    with others.
 
     Which terms are taken for heavy changes where they are counted, never what is counted.
     """
     tasks = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    share = 0.5 / tasks if share is None else share
+    share = min(0.002, 0.5 / tasks) if share is None else share
     k = min(10_000, int(1 / share) + 1)
     row = df.select(F.expr(f"approx_top_k(value, {k}, {max(tracked, 4 * k)})").alias("top"), F.count("*").alias("n")).first()
     return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= max(2, share * row["n"])]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(terms: list[str]):
     """(at, grp, doc, cells): the distinct (portion, count) of each heavy term and document in a task, the term by its
     number; handed on after every 100,000 pairs, so a task holds no more."""
-    seen: dict[tuple, set] = {}
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        keys = list(seen)
-        return pa.RecordBatch.from_pydict(
-            {
-                "at": pa.array([k[0] for k in keys], pa.int32()),
-                "grp": pa.array([k[1] for k in keys], pa.string()),
-                "doc": pa.array([k[2] for k in keys], pa.string()),
-                "cells": pa.array([[{"portion": p, "count": c} for p, c in seen[k]] for k in keys], pa.list_(pa.struct([("portion", pa.int64()), ("count", pa.int64())]))),
-            }
-        )
+    number = {t: i for i, t in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, set] = {}
+        size = 0
+        for b in batches:
+            for value, grp, doc, portion, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                cell = seen.setdefault((number[value], grp, doc), set())
+                size -= len(cell)
+                cell.add((portion, count))
+                size += len(cell)
+            if size > 100_000:
+                yield _packed(seen)
+                seen.clear()
+                size = 0
+        yield _packed(seen)
 
-    for b in batches:
-        for at, grp, doc, portion, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            cell = seen.setdefault((at, grp, doc), set())
-            size -= len(cell)
-            cell.add((portion, count))
-            size += len(cell)
-        if size > 100_000:
-            yield flush()
-            seen.clear()
-            size = 0
-    yield flush()
+    return run
+
+
+def _packed(seen: dict[tuple, set]) -> pa.RecordBatch:
+    keys = list(seen)
+    pair = pa.struct([("portion", pa.int64()), ("count", pa.int64())])
+    return pa.RecordBatch.from_pydict(
+        {
+            "at": pa.array([k[0] for k in keys], pa.int32()),
+            "grp": pa.array([k[1] for k in keys], pa.string()),
+            "doc": pa.array([k[2] for k in keys], pa.string()),
+            "cells": pa.array([[{"portion": p, "count": c} for p, c in seen[k]] for k in keys], pa.list_(pair)),
+        }
+    )
 
 
 def _local_counts(terms: list[str]):
@@ -98,8 +105,7 @@ def term_counts(df: DataFrame, heavy: list[str] | None = None) -> DataFrame:
     if heavy:
         is_heavy = F.col("value").isin(heavy)
         light = rows.filter(~is_heavy)
-        at = F.element_at(F.create_map(*(x for i, t in enumerate(heavy) for x in (F.lit(t), F.lit(i)))), F.col("value"))
-        packed = rows.filter(is_heavy).select(at.alias("at"), *(F.col(c).cast("string").alias(c) for c in ("grp", "doc")), *(F.col(c).cast("long").alias(c) for c in ("portion", "count"))).mapInArrow(_pack, "at int, grp string, doc string, cells array<struct<portion:long,count:long>>")
+        packed = rows.filter(is_heavy).select("value", *(F.col(c).cast("string").alias(c) for c in ("grp", "doc")), *(F.col(c).cast("long").alias(c) for c in ("portion", "count"))).mapInArrow(_pack(heavy), "at int, grp string, doc string, cells array<struct<portion:long,count:long>>")
         # one shuffle, by term and document; the steps after it keep that partitioning
         per_doc = (
             packed.repartition("at", "grp", "doc")

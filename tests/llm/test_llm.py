@@ -242,8 +242,8 @@ def test_term_counts(spark):
     want = {(v, total[v], len(docs[v])) for v in total}
     for heavy in (None, [], ["HOT", "v1"], list(total)):
         assert {tuple(r) for r in termfreq.term_counts(df, heavy).collect()} == want
-    assert termfreq.heavy_terms(termfreq.counting_rows(df)) == ["HOT"]  # the only one above half a task's rows
-    assert set(termfreq.heavy_terms(termfreq.counting_rows(df), share=0.001)) == set(total)
+    assert termfreq.heavy_terms(termfreq.counting_rows(df), share=0.1) == ["HOT"]
+    assert set(termfreq.heavy_terms(termfreq.counting_rows(df))) == set(total) == set(termfreq.heavy_terms(termfreq.counting_rows(df), share=0.001))
     n = len({(g, d) for _, g, d, _, _ in kept})
     bands = {r["value"]: r["bands"] for r in termfreq.term_bands(df).collect()}
     assert bands == {v: ["rare"] * (total[v] <= 2) + ["common"] * (len(docs[v]) > n / 2) for v in total}
