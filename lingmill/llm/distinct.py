@@ -28,7 +28,8 @@ def term_scores(df: DataFrame, record_col: str, term_col: str, weight_col: str,
         .agg(F.sum("w").alias("w"), F.count("*").alias("k"))
     )
     terms = cells.groupBy("term").agg(F.sum("w").alias("term_w"), F.count("*").alias("n_records"), F.sum("k").alias("df"))
-    records = cells.groupBy("record").agg(F.sum("w").alias("record_w"))
+    # k is at least 1; both branches read all columns of the cells, so they are made and shuffled once
+    records = cells.groupBy("record").agg(F.sum(F.when(F.col("k") > 0, F.col("w"))).alias("record_w"))
     whole = records.agg(F.sum("record_w").alias("all_w"), F.avg("record_w").alias("mean_w"))  # one row
     p_all = F.col("term_w") / F.col("all_w")
     mu = F.col("mean_w") * F.lit(mu_share)
