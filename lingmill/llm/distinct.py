@@ -25,11 +25,12 @@ def term_scores(df: DataFrame, record_col: str, term_col: str, weight_col: str,
         df.select(F.col(record_col).alias("record"), F.col(term_col).alias("term"), F.when((w > 0) & ~F.isnan(w), w).otherwise(0.0).alias("w"))
         .filter(F.col("record").isNotNull() & F.col("term").isNotNull())
         .groupBy("term", "record")
-        .agg(F.sum("w").alias("w"), F.count("*").alias("k"))
+        .agg(F.count("*").alias("k"), F.sum("w").alias("w"))
     )
+    # k is at least 1: so every use of the cells needs all their columns, and they are made and shuffled once
+    cells = cells.withColumn("w", F.when(F.col("k") > 0, F.col("w")))
     terms = cells.groupBy("term").agg(F.sum("w").alias("term_w"), F.count("*").alias("n_records"), F.sum("k").alias("df"))
-    # k is at least 1; both branches read all columns of the cells, so they are made and shuffled once
-    records = cells.groupBy("record").agg(F.sum(F.when(F.col("k") > 0, F.col("w"))).alias("record_w"))
+    records = cells.groupBy("record").agg(F.sum("w").alias("record_w"))
     whole = records.agg(F.sum("record_w").alias("all_w"), F.avg("record_w").alias("mean_w"))  # one row
     p_all = F.col("term_w") / F.col("all_w")
     mu = F.col("mean_w") * F.lit(mu_share)
