@@ -33,6 +33,7 @@ _RUNS = re.compile(r"[\x00-\x7f]+")
 _SEGMENT = re.compile(r"(?<=[.!?])[ \t]+")
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 _EDGE = re.compile(r"^[^\w\x80-\U0010ffff]+|[^\w\x80-\U0010ffff]+$")
+_WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _LATIN = re.compile("[A-Za-z]")
 _FOREIGN = re.compile("[\u0370-\u052f]")
@@ -126,15 +127,39 @@ class CharModel:
     @classmethod
     def fit(cls, texts: list[str]) -> CharModel:
         m = cls()
-        for t in texts:
-            for word in re.findall(r"[^\W\d_]+(?:[’'][^\W\d_]+)*", t.lower()):
-                s = f"^{word}$"
-                m.uni.update(s)
-                m.bi.update(zip(s, s[1:], strict=False))
-                m.tri.update(zip(s, s[1:], s[2:], strict=False))
+        m.add(texts)
+        return m
+
+    @classmethod
+    def fit_column(cls, df: DataFrame, text_col: str = "text") -> CharModel:
+        """The same of all texts of a column, which are counted where they lie; only one row per distinct n-gram of
+        characters reaches the driver."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = cls()
+            for batch in batches:
+                m.add(batch.column(0).to_pylist())
+            grams = [("".join(g), n) for c in (m.uni, m.bi, m.tri) for g, n in c.items()]
+            yield pa.RecordBatch.from_pydict({"gram": pa.array([g for g, _ in grams], pa.string()), "n": pa.array([n for _, n in grams], pa.int64())})
+
+        text = F.col(text_col)
+        m = cls()
+        for gram, n in df.select(text.alias("text")).filter("text is not null").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+            if len(gram) == 1:
+                m.uni[gram] = n
+            else:
+                (m.bi if len(gram) == 2 else m.tri)[tuple(gram)] = n
         m.total = sum(m.uni.values())
         return m
 
+    def add(self, texts: list[str]) -> None:
+        for word, n in Counter(w for t in texts for w in _WORD.findall(t.lower())).items():
+            s = f"^{word}$"
+            for counts, grams in ((self.uni, s), (self.bi, zip(s, s[1:], strict=False)), (self.tri, zip(s, s[1:], s[2:], strict=False))):
+                for g in grams:
+                    counts[g] += n
+        self.total = sum(self.uni.values())
+
     def commonness(self, chars: str) -> float:
         """Mean log frequency of the characters."""
         return sum(math.log((self.uni[c] + 0.1) / (self.total + 1)) for c in chars.lower()) / max(1, len(chars))
@@ -259,12 +284,12 @@ def twin_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
     return met.select("runs", "modal", (F.col("modal_n") > F.col("n")).alias("surely"))
 
 
-def learn(df: DataFrame, clean_texts: list[str], text_col: str = "text", min_support: int = 2, min_share: float = 0.0005, enough: int = 30) -> list[Transformation]:
+def learn(df: DataFrame, clean: list[str] | CharModel, text_col: str = "text", min_support: int = 2, min_share: float = 0.0005, enough: int = 30) -> list[Transformation]:
     """The transformations that at least `min_support` near-twins in `df`, and a share `min_share` of the explained ones
     (against explanations by chance) or `enough` of them, confirm, the best confirmed first.
 
     Only one count per candidate reaches the driver (a few hundred at most, whatever the size of `df`)."""
-    model = CharModel.fit(clean_texts)
+    model = clean if isinstance(clean, CharModel) else CharModel.fit(clean)
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         support: Counter = Counter()
@@ -425,13 +450,13 @@ class Repairer:
         return ("\n".join(lines) if any_fixed else text), any_fixed or lost or crossed, lost
 
 
-def with_repair(df: DataFrame, learned: list[Transformation], clean_texts: list[str], text_col: str = "text", out_col: str = "repair") -> DataFrame:
+def with_repair(df: DataFrame, learned: list[Transformation], clean: list[str] | CharModel, text_col: str = "text", out_col: str = "repair") -> DataFrame:
     """`df` with a struct column (restored, garbled, lost).
 
     Null gives null; a text without garbled parts is restored to itself. Parts whose characters were replaced by
     U+FFFD are garbled and lost; the rest of such a text is restored all the same. ASCII-only texts stay in the JVM.
     """
-    model = CharModel.fit(clean_texts)
+    model = clean if isinstance(clean, CharModel) else CharModel.fit(clean)
 
     @F.pandas_udf("struct<restored:string,garbled:boolean,lost:boolean>")
     def repair(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -15,8 +15,12 @@ from lingmill.session import blank, cut_lineage, spread, table
 MAX_SAMPLES = 10_000
 
 
+def labelled_samples(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lang_samples").filter("language is not null and text is not null")
+
+
 def samples(spark: SparkSession, d: str) -> list[tuple[str, str]]:
-    rows = table(spark, d, "lang_samples").filter("language is not null and text is not null").orderBy("sample_id").limit(MAX_SAMPLES).collect()
+    rows = labelled_samples(spark, d).orderBy("sample_id").limit(MAX_SAMPLES).collect()
     return [(r["language"], r["text"]) for r in rows]
 
 
@@ -76,7 +80,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     """(tbl, row_id, restored, lost) of the garbled rows."""
     both = texts(spark, d)
-    clean = [t for _, t in samples(spark, d)]
+    clean = mojibake.CharModel.fit_column(labelled_samples(spark, d))
     learned = mojibake.learn(both, clean)
     got = mojibake.with_repair(both, learned, clean).filter("repair.garbled")
     return got.select("tbl", "row_id", F.col("repair.restored").alias("restored"), F.col("repair.lost").alias("lost"))

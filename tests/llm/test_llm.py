@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lingmill.llm import distinct, langlabel, mixing, mojibake, packing, reading, skeleton, split, termfreq, tokens
+from lingmill.llm import distinct, langlabel, mixing, mojibake, packing, queries, reading, skeleton, split, termfreq, tokens
 from lingmill.llm.message import message, prose
 
 ODD = [None, "", " ", "\n", "a", "ж" * 50_000, "x y. " * 20_000, "😀" * 9_000, "a\0b", "same", "same"]
@@ -216,6 +216,24 @@ def test_encodings_odd(spark):
     assert mojibake.with_repair(odd(spark), learned, clean).count() == len(ODD)
 
 
+def test_clean_samples_of_any_number(spark, tmp_path):
+    """What teaches clean text stands behind 10,000 other samples."""
+    known = [(i, "EN", "see the log") for i in range(10_000)] + [(10_000 + i, lang, s) for i, (lang, s) in enumerate(SAMPLES)] + [(20_000, None, "no"), (20_001, "EN", None)]
+    docs = garbled_corpus()
+    for name, rows, schema in (
+        ("lang_samples", known, "sample_id long, language string, text string"),
+        ("documents", [r[:2] for r in docs], "doc_id long, text string"),
+        ("requests", [(1, "plain"), (2, None)], "req_id long, text string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    model = mojibake.CharModel.fit_column(queries.labelled_samples(spark, str(tmp_path)))
+    assert model == mojibake.CharModel.fit([t for _, lang, t in known if lang and t]) and model.uni["п"] > 0
+    got = {r["row_id"]: r["restored"] for r in queries.p5_repaired(spark, str(tmp_path)).collect()}
+    want = {i: origin for i, _, origin in docs if origin is not None}
+    assert set(got) == set(want) and np.mean([got[i] == want[i] for i in got]) > 0.95
+    assert mojibake.CharModel.fit_column(queries.labelled_samples(spark, str(tmp_path)).limit(0)) == mojibake.CharModel()
+
+
 def test_evidence_is_summed_over_a_text():
     clean = ["Náš klíč kontroluje soubor.", "Noční úloha vrací spojení.", "Klíč čte náš soubor."]
     r = mojibake.Repairer([mojibake.Transformation("cp1252", "cp1250")], mojibake.CharModel.fit([s for s in clean for _ in range(20)]))
