@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lingmill.config import DetectorConfig
 from lingmill.functions import scan
 from lingmill.functions.urls import UrlRules
+from lingmill.operators import joined
 from lingmill.operators.model import merged
 from lingmill.session import cut_lineage, filesystem, shared_folder
 
@@ -237,20 +238,10 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str = "to
 def _scored(docs: DataFrame, model: DataFrame, id_col: str, tokens_col: str, local_bytes: int) -> DataFrame:
     """(id, terms, detected, x) of each text, by the form that the model's size allows."""
     cells = cut_lineage(merged(model))
-    if cells.count() * _ROW_BYTES <= local_bytes:
+    rows = cells.count()
+    if rows * _ROW_BYTES <= local_bytes:
         return docs.select(id_col, LocalDetector(model, max_bytes=local_bytes, merged_model=cells).scored(F.col(tokens_col)).alias("s")).select(id_col, "s.*")
-    t = F.col(tokens_col)
-    size = F.greatest(F.coalesce(F.size(t), F.lit(0)), F.lit(0))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
-    pairs = docs.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(t.alias("one"), before.alias("before"))).alias("pos", "p")).filter("p.one is not null")
-    # only n-grams travel, none is null; the model is a plain scan, so a frequent n-gram's rows can be split at run time
-    grams = pairs.select("id", "pos", F.explode(F.array_compact(F.array("p.one", F.concat(F.col("p.before"), F.lit(" "), F.col("p.one"))))).alias("ngram"))
-    found = cut_lineage(grams.join(cells, "ngram").select("id", "pos", "lang", "weight", "hits"))
-    per = found.groupBy("id", "lang").agg(F.sum("weight").alias("weight_sum"), F.sum("hits").alias("hits"))
-    per = per.groupBy("id").agg(F.collect_list(F.struct("lang", "weight_sum", "hits")).alias("x"))
-    seen = found.groupBy("id", "pos").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("detected"))
-    out = docs.select(F.col(id_col).alias("id"), size.cast("int").alias("terms")).join(seen, "id", "left").join(per, "id", "left")
-    return out.select(F.col("id").alias(id_col), "terms", F.coalesce("detected", F.lit(0).cast("long")).alias("detected"), F.coalesce("x", F.array().cast(_CELLS)).alias("x"))
+    return joined.scored(docs, cells, rows, id_col, tokens_col)
 
 
 def _weighed(weigh: Weigh = by_hits, struct: str = "") -> Column:

@@ -376,3 +376,43 @@ def test_stream(spark, tmp_path):
     assert {r["id"]: [x["lang"] for x in r["langs"]] for r in spark.read.parquet(out).collect()} == {0: ["EN"], 1: []}
     got = language_counts(detect_stream(spark.read.parquet(src), local), "ts")
     assert {(r["lang"], r["n"]) for r in got.collect()} == {("EN", 1), ("unknown", 1)}
+
+
+def test_joined_detection_moves_each_ngram_once(spark):
+    """What the joining form writes does not grow with the occurrences of n-grams."""
+    import random
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from lingmill.session import checkpoint_dir
+
+    rng = random.Random(2)
+    words = [f"W{i}" for i in range(12)]
+    ts = texts(spark, [" ".join(rng.choice(words) for _ in range(200)) for _ in range(2_000)])
+    size = lambda: sum(p.stat().st_size for p in Path(urlparse(checkpoint_dir(spark)).path).rglob("*") if p.is_file())
+    before = size()
+    got = D.detect(ts, model(spark, [(w, lang, 0.5) for w in words for lang in ("EN", "DE", "FR")]), "id", local_bytes=0)
+    assert got.count() == 2_000
+    assert size() - before < 2_000_000
+
+
+@pytest.mark.parametrize(("batch_words", "part_rows"), [(1, 1), (37, 5), (10**6, 10**6)])
+def test_joined_detection_in_any_batches(spark, batch_words, part_rows):
+    """Batches and parts of any size give the sums of the lookup; null words match nothing, and no n-gram reaches over them."""
+    import random
+
+    from lingmill.operators import joined
+
+    rng = random.Random(3)
+    words = [f"W{i}" for i in range(9)] + ["ЖЁ", "É"]
+    rows = [(rng.choice(words) if rng.random() < 0.5 else f"{rng.choice(words)} {rng.choice(words)}", rng.choice(["EN", "DE", "FR"]), rng.random()) for _ in range(80)]
+    ts = [[rng.choice([*words, "X"]) for _ in range(rng.randint(0, 30))] for _ in range(60)] + [None, [], ["W1"] * 300]
+    t = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(ts)], "id string, tokens array<string>")
+    cells = M.merged(model(spark, rows))
+    read = lambda d: {r["id"]: (r["terms"], r["detected"], {x["lang"]: (pytest.approx(x["weight_sum"]), x["hits"]) for x in r["x"]}) for r in d.collect()}
+    got = read(joined.scored(t, cells, cells.count(), "id", "tokens", batch_words, part_rows))
+    local = t.select("id", D.LocalDetector(model(spark, rows)).scored(F.col("tokens")).alias("s")).select("id", "s.*")
+    assert len(got) == len(ts) and got == read(local)
+    gaps = spark.createDataFrame([(1, ["W1", None, "W2", "W2"]), (2, [None])], "id int, tokens array<string>")
+    one = M.merged(model(spark, [("W1", "EN", 1.0), ("W1 W2", "EN", 1.0), ("W2 W2", "DE", 2.0), ("", "EN", 1.0), (" W2", "EN", 1.0), (None, "EN", 1.0), ("W2", None, 0.5)]))
+    assert read(joined.scored(gaps, one, 7, "id", "tokens", batch_words, part_rows)) == {1: (4, 3, {"EN": (1.0, 1), "DE": (2.0, 1), None: (1.0, 2)}), 2: (1, 0, {})}
